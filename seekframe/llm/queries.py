@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import line_dedup, mixing
 from ._common import documents
 
 
@@ -15,9 +15,11 @@ def _on_documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": _on_documents(mixing.op1),
     "op10_line_dedup": _on_documents(line_dedup.op10),
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mix_sources": mixing.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
