@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, packing, token_files
 from ._common import documents
 
 
@@ -16,6 +16,8 @@ def _on_documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": _on_documents(mixing.op1),
+    "op2_token_files": _on_documents(token_files.op2),
+    "op4_pack_windows": _on_documents(packing.op4),
     "op10_line_dedup": _on_documents(line_dedup.op10),
 }
 
