@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, packing, token_files
+from . import fingerprints, line_dedup, mixing, packing, token_files
 from ._common import documents
 
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": _on_documents(mixing.op1),
     "op2_token_files": _on_documents(token_files.op2),
     "op4_pack_windows": _on_documents(packing.op4),
+    "op6_fingerprints": _on_documents(fingerprints.op6),
     "op10_line_dedup": _on_documents(line_dedup.op10),
 }
 
