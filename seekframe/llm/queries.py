@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, line_dedup, mixing, packing, token_files
+from . import fingerprints, licenses, line_dedup, mixing, packing, quality_rules, token_files
 from ._common import documents
 
 
@@ -18,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": _on_documents(mixing.op1),
     "op2_token_files": _on_documents(token_files.op2),
     "op4_pack_windows": _on_documents(packing.op4),
+    "op5_license_scan": _on_documents(licenses.op5),
+    "op7_quality_rules": _on_documents(quality_rules.op7),
     "op6_fingerprints": _on_documents(fingerprints.op6),
     "op10_line_dedup": _on_documents(line_dedup.op10),
 }
