@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, line_dedup, mixing, packing, quality_rules, token_files
+from . import fingerprints, licenses, line_dedup, mixing, near_dedup, packing, quality_rules, token_files
 from ._common import documents
 
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": _on_documents(licenses.op5),
     "op7_quality_rules": _on_documents(quality_rules.op7),
     "op6_fingerprints": _on_documents(fingerprints.op6),
+    "op8_near_dedup": _on_documents(near_dedup.op8),
     "op10_line_dedup": _on_documents(line_dedup.op10),
 }
 
