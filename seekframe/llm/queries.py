@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, line_dedup, mixing, near_dedup, packing, quality_rules, token_files
+from . import fingerprints, licenses, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, token_files
 from ._common import documents
 
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": _on_documents(quality_rules.op7),
     "op6_fingerprints": _on_documents(fingerprints.op6),
     "op8_near_dedup": _on_documents(near_dedup.op8),
+    "op9_quality_classifier": quality_classifier.op9,
     "op10_line_dedup": _on_documents(line_dedup.op10),
 }
 
