@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, token_files
+from . import fingerprints, licenses, line_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, token_files
 from ._common import documents
 
 
@@ -17,6 +17,7 @@ def _on_documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": _on_documents(mixing.op1),
     "op2_token_files": _on_documents(token_files.op2),
+    "op3_personal_data": _on_documents(pii.op3),
     "op4_pack_windows": _on_documents(packing.op4),
     "op5_license_scan": _on_documents(licenses.op5),
     "op7_quality_rules": _on_documents(quality_rules.op7),
