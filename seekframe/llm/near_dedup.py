@@ -34,6 +34,8 @@ TOKENS, TREES, DEPTH, NODE, TASK = 64, 12, 8, 48, 2000
 #: Shares of equal tokens from which a pair may be alike (0.8 less 4 standard deviations) and surely is.
 MAYBE, SURE = 0.6, 0.9
 PERCENT = 80
+#: Tables of ids are broadcast up to so many rows, after a count; beyond, both sides are shuffled.
+ID_ROWS = 1_000_000
 
 
 def _constants(seed: int, n: int) -> np.ndarray:
@@ -242,8 +244,11 @@ def confirm(k: int, percent: int):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets are alike; texts: (key, t), one row a class representative."""
-    right = pairs.join(texts.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b")
+    """Of written pairs (a, b) those whose full sets are alike; texts: (key, t), one row a class representative.
+
+    The ids of the pairs go to the texts of b while their number is small; those texts then meet the texts of a.
+    """
+    right = texts.select(F.col("key").alias("b"), F.col("t").alias("tb")).join(lookup(pairs.select("a", "b"), ID_ROWS), "b")
     both = right.join(texts.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
     return both.mapInPandas(confirm(k, percent), "a long, b long")
 
@@ -284,7 +289,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFram
     classes = saved(members.groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.min_by("tokens", "key").alias("tokens")), "classes")
     pairs = saved(candidate_pairs(classes.select(F.col("rep").alias("key"), "tokens")).filter("a <> b"), "pairs")
     involved = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = docs.select(id_key().alias("key"), text_of().alias("t")).join(involved, "key", "left_semi")
+    texts = saved(docs.select(id_key().alias("key"), text_of().alias("t")).join(lookup(saved(involved, "involved"), ID_ROWS), "key", "left_semi"), "texts")
     best = saved(pairs.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")), "best")
     links = saved(confirmed(best, texts, k, percent), "confirmed")
     labels = components(links)
