@@ -14,6 +14,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 #: A lookup side is broadcast up to so many rows (of a few dozen bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
+#: Rows of a batch that a Python worker holds at once, at most.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 #: Stands for a null document id inside an operator; it sorts before every other id.
 NULL_ID = -(2**63)
 
@@ -22,7 +25,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, wherever the driver was started."""
+    """Let Python workers import this package, wherever the driver was started, and keep their batches of texts small."""
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):

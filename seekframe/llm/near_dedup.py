@@ -139,14 +139,15 @@ def compare(keys: np.ndarray, signs: np.ndarray, tree: int, out: list) -> None:
         return x
 
     turn = mixed(keys[rows].astype(np.uint64) * np.uint64(31) + keys[cols].astype(np.uint64) + np.uint64(tree * 7919))
+    tree_edges = []
     for i in np.flatnonzero(sure)[np.argsort(turn[sure])].tolist():
         a, b = root(int(rows[i])), root(int(cols[i]))
         if a != b:
             parent[a] = b
-            out.append((keys[rows[i]], keys[cols[i]], value[i]))
+            tree_edges.append(i)
     roots = np.array([root(x) for x in range(m)])
-    for i in np.flatnonzero(~sure & (roots[rows] != roots[cols])).tolist():
-        out.append((keys[rows[i]], keys[cols[i]], value[i]))
+    take = np.concatenate((np.array(tree_edges, np.int64), np.flatnonzero(~sure & (roots[rows] != roots[cols]))))
+    out.append(np.stack((keys[rows[take]], keys[cols[take]], value[take].astype(np.int64))))
 
 
 def branch(keys: np.ndarray, signs: np.ndarray, tree: int, depth: int, out: list) -> None:
@@ -181,8 +182,8 @@ def node_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 branch(key[a:b], signs, int(tree[a]), int(level[a]), out)
 
     def frame(out: list) -> pd.DataFrame:
-        pairs = pd.DataFrame(out, columns=["x", "y", "equal"]).astype("int64")
-        return pd.DataFrame({"a": pairs[["x", "y"]].min(axis=1), "b": pairs[["x", "y"]].max(axis=1), "equal": pairs["equal"]}).drop_duplicates()
+        x, y, equal = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "equal": equal}).drop_duplicates()
 
     for batch in batches:
         if not len(batch):

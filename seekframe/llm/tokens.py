@@ -15,6 +15,7 @@ import json
 import os
 import re
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 
@@ -38,16 +39,26 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class ByteEncoder:
+class _Exact:
+    """The tokenizers library's own encoding, loaded when a text asks for it."""
+
+    path: str
+
+    @cached_property
+    def tokenizer(self):
+        return _load(self.path)
+
+
+class ByteEncoder(_Exact):
     """The byte-level file."""
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
 
-        self.tokenizer = _load(path)
-        letters, special = _byte_letters(), {x.content for x in self.tokenizer.get_added_tokens_decoder().values()}
-        vocab = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in special}
+        self.path, letters, model = path, _byte_letters(), json.load(open(path))
+        special = {x["content"] for x in model["added_tokens"]}
+        vocab = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
         self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
@@ -57,7 +68,7 @@ class ByteEncoder:
         return np.array(self.core.encode_ordinary(text), np.uint16)
 
 
-class WordEncoder:
+class WordEncoder(_Exact):
     """The file with word ends and lower case."""
 
     SPACE, LETTER, DIGIT, OTHER = range(4)
@@ -65,8 +76,7 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         import tiktoken
 
-        self.tokenizer = _load(path)
-        letters = _byte_letters()
+        self.path, letters, model = path, _byte_letters(), json.load(open(path))["model"]
         # one-byte letters for the pairs of printable ASCII after lower-casing, two-byte letters for the others
         pairs = [(b, False) for b in range(33, 127) if not 65 <= b <= 90 and not 48 <= b <= 57] + [(b, True) for b in range(33, 127) if not 65 <= b <= 90]
         self.symbol = np.zeros((2, 256), np.uint16)
@@ -78,7 +88,7 @@ class WordEncoder:
                 if (b, bool(last)) not in pairs:
                     self.symbol[last, b] = 0x100 + 2 * b + last
         text_of = lambda bs, last: "".join(chr(self.symbol[int(last and i == len(bs) - 1), b]) for i, b in enumerate(bs))
-        vocab, merges = self.tokenizer.get_vocab(with_added_tokens=False), json.load(open(path))["model"]["merges"]
+        vocab, merges = model["vocab"], model["merges"]
         ranks: dict[bytes, int] = {}
         ids: list[int] = []
 
