@@ -5,12 +5,12 @@ fails outright with fewer than 50 words or with more than half of its words in r
 
 Lines across documents: a line is normalised (words joined by one blank, lower-cased, digits as 0) and hashed to 64
 bits. For each host (the `source` column) distinct documents are counted per line hash. Copies are not independent
-witnesses: documents of a host with the same longest line count as one, so groups of exact or near copies do not make
-their own content a frequent line. A line is over the limit in a host if it is in more than `MIN_DOCS` documents and in
+witnesses: documents of a host whose longest line, other than the line counted, is the same count as one, so groups of
+exact or near copies do not make their own content a frequent line. A line is over the limit in a host if it is in more than `MIN_DOCS` documents and in
 more than `MAX_SHARE` of the host's. Such lines are removed, and a document left with under `MIN_LEFT` of its words is
 rejected.
 
-Texts are read once; only hashes are shuffled. Counting pre-aggregates (host, line, longest line) and then (host, line),
+Texts are read once; only hashes are shuffled. Counting pre-aggregates (host, line, longest other line) and then (host, line),
 so neither a large host nor a frequent line loads one task. The table of lines over the limit holds at most
 1 / MAX_SHARE lines a host and word of a document's mean lines; it is broadcast only after its size is checked.
 
@@ -32,7 +32,7 @@ from ._common import lookup, prepare, saved, text_of
 MIN_WORDS, MAX_REPEATED, MIN_DOCS, MAX_SHARE, MIN_LEFT = 50, 0.5, 20, 0.02, 0.4
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 DIGITS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lines array<struct<h:bigint,n:int>>, longest long"
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lines array<struct<h:bigint,n:int>>, longest long, second long"
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -65,7 +65,7 @@ def statistics(text: str) -> tuple:
     words = data.split()  # bytes split at ASCII white space only
     word_chars = len(text) - sum(text.count(c) for c in SPACES)
     n_dup, seen, lines = 0, set(), {}
-    longest = (0, 0)
+    longest = second = (0, 0)
     for line in data.split(b"\n"):
         own = line.split()
         if not own:
@@ -74,18 +74,19 @@ def statistics(text: str) -> tuple:
             n_dup += 1
         seen.add(line)
         h = xxhash.xxh3_64_intdigest(b" ".join(own).translate(DIGITS)) - 2**63
+        if h not in lines:
+            second, longest = sorted((second, longest, (len(own), h)))[1:]
         lines[h] = lines.get(h, 0) + len(own)
-        longest = max(longest, (len(own), h))
     repeated = repeat_words(words)
     n = len(words)
     failed = n < MIN_WORDS or repeated > MAX_REPEATED * n
-    return n, word_chars, sum(text.count(c) for c in SYMBOLS), n_dup, repeated, failed, [{"h": h, "n": k} for h, k in lines.items()], longest[1]
+    return n, word_chars, sum(text.count(c) for c in SYMBOLS), n_dup, repeated, failed, [{"h": h, "n": k} for h, k in lines.items()], longest[1], second[1]
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """row, id, host, the statistics, lines: (hash, words) of each distinct line, longest: hash of the longest line."""
+    """row, id, host, the statistics, lines: (hash, words) of each distinct line, longest and second: hashes of its longest lines."""
     prepare(docs.sparkSession)
-    names = [x.split()[0] for x in "row id host".split()] + ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines", "longest"]
+    names = [x.split()[0] for x in "row id host".split()] + ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines", "longest", "second"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -97,7 +98,8 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(found: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(host, h): the lines over the limit in each host."""
-    lines = found.select("host", "longest", F.explode("lines.h").alias("h")).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs"))
+    lines = found.select("host", "longest", "second", F.explode("lines.h").alias("h"))
+    lines = lines.select("host", "h", F.when(F.col("h") == F.col("longest"), F.col("second")).otherwise(F.col("longest")).alias("other")).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs"))
     hosts = found.filter("n_words > 0").select("host", "longest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     over = lines.filter(F.col("n_docs") > min_docs).join(hosts, "host").filter(F.col("n_docs") > max_share * F.col("host_docs"))
     return over.select("host", "h", "n_docs")
@@ -108,7 +110,7 @@ def judged(docs: DataFrame) -> DataFrame:
     found = saved(measured(docs), "measured")
     over = lookup(saved(frequent_lines(found).select("host", "h"), "frequent"))
     lost = found.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.h", "x.n").join(over, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("lost"))
-    out = found.drop("lines", "longest").join(lost, "row", "left").withColumn("words_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
+    out = found.drop("lines", "longest", "second").join(lost, "row", "left").withColumn("words_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= MIN_LEFT * F.col("n_words"))).drop("lost", "host")
 
 
