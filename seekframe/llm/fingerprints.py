@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from ._common import NULL_ID, id_back, id_key, prepare, text_of  # noqa: F401
 
 GRAM, WINDOW = 24, 40
+#: Id ranges a shuffle partition, on average: so many that partitions come out even.
+RANGES = 8
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -157,6 +159,6 @@ def in_ranges(rows: DataFrame, n_ranges: int) -> DataFrame:
 def op6(docs: DataFrame) -> DataFrame:
     spark = prepare(docs.sparkSession)
     rows = docs.select(id_key().alias("key"), text_of().alias("t"))
-    ranges = in_ranges(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = in_ranges(rows, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
     out = ranges.repartition("part").sortWithinPartitions("part", "borrowed", F.col("key").desc(), "t").mapInPandas(compare_with_next, OUT)
     return out.select(id_back("key").alias("doc_id"), *[x.split()[0] for x in OUT.split(", ")][1:])
