@@ -31,9 +31,14 @@ def snippet_start(terms: Column, wanted: list[str], width: int = 24, lead: int =
     """First token of the window with most query terms: windows start `lead` tokens before a hit; ties go to the first.
     Null without a hit. One sorted array of hits, no explode."""
     places = F.filter(F.transform(terms, lambda t, i: F.when(t.isin(wanted), i)), lambda i: i.isNotNull())
-    windows = F.transform(places, lambda p: F.greatest(p - lead, F.lit(0)))
-    counted = F.transform(windows, lambda s: F.struct((-F.size(F.filter(places, lambda x: (x >= s) & (x < s + width)))).alias("n"), s.alias("s")))
-    return F.array_min(counted)["s"]
+
+    def window(p: Column, i: Column) -> Column:
+        s = F.greatest(p - lead, F.lit(0))
+        # places differ, so a window's hits are among the few before and after this one
+        near = F.slice(places, F.greatest(i - lead, F.lit(0)) + 1, F.lit(lead + width))
+        return F.struct((-F.size(F.filter(near, lambda x: (x >= s) & (x < s + width)))).alias("n"), s.alias("s"))
+
+    return F.array_min(F.transform(places, window))["s"]
 
 
 def escaped(s: str) -> str:

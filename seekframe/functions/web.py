@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 DROPPED = r"(?is)<(script|style|noscript|svg|template)\b?[^>]*>.*?</\1>"
 COMMENTS = r"(?s)<!--.*?-->"
@@ -55,7 +56,7 @@ def page_description(doc: Column) -> Column:
 
 def page_hrefs(doc: Column) -> Column:
     """array<string>: hrefs of anchors that lead somewhere."""
-    found = F.transform(F.regexp_extract_all(doc, F.lit(LINKS), F.lit(1)), F.trim)
+    found = F.transform(F.regexp_extract_all(doc, F.lit(LINKS), F.lit(1)), lambda h: F.trim(h))
     return F.filter(found, lambda h: (h != "") & ~h.startswith("#") & ~F.lower(h).startswith("javascript:"))
 
 
@@ -210,6 +211,6 @@ def decoded(body: bytes, content_type: str | None) -> str:
         return body.decode("gbk", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_body(body: pd.Series, content_type: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else decoded(bytes(b), c) for b, c in zip(body, content_type)])

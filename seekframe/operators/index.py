@@ -73,11 +73,26 @@ def without(docs: DataFrame, deleted: DataFrame, key: str = "doc_id") -> DataFra
 
 
 def compacted(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with dense ids `new_id` from 0 in the order of key: ranks within ranges, plus the sizes of the ranges below."""
-    ranged = docs.repartitionByRange(key).sortWithinPartitions(key).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % F.lit(2**33)})
-    sizes = ranged.groupBy("_part").agg(F.max("_at").alias("_top"))
-    below = sizes.select("_part", F.coalesce(F.sum(F.col("_top") + 1).over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return ranged.join(F.broadcast(below), "_part").withColumn("new_id", F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
+    """docs with dense ids `new_id` from 0 in the order of key.
+
+    Ranges of keys are fixed first, by one bound each; a row's id is its rank in its range plus the sizes of the ranges
+    below. Bounds and sizes, two numbers a shuffle partition, are all that comes to the driver.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = docs.select(key).repartitionByRange(n, key).groupBy(F.spark_partition_id().alias("p")).agg(F.max(key).alias("top")).collect()
+    tops = sorted({r["top"] for r in found if r["top"] is not None})
+    part = F.lit(0)
+    if tops:
+        bounds, steps = F.array(*[F.lit(x) for x in tops]), F.array(*[F.lit(1 << i) for i in reversed(range(len(tops).bit_length()))])
+        part = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step < len(tops)) & (F.get(bounds, at + step - 1) < F.col(key)), at + step).otherwise(at))
+    rows = docs.withColumn("_part", part)
+    sizes = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}
+    below, total = [], 0
+    for i in range(max(1, len(tops))):
+        below.append(total)
+        total += sizes.get(i, 0)
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return rows.withColumn("new_id", F.get(F.array(*[F.lit(x).cast("long") for x in below]), F.col("_part")) + rank).drop("_part")
 
 
 def conjunctive(posts: DataFrame, terms: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,9 +23,14 @@ TERMS = ["achlich", "aiaux", "aiment", "thtion"]
 PHRASE = ["of", "the"]
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """Counts and positions as 64-bit integers, as SQL has them."""
+    return df.select(*[F.col(f"`{name}`").cast("long").alias(name) if kind == "int" else F.col(f"`{name}`") for name, kind in df.dtypes])
+
+
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = wraps(f)(lambda spark, sf_dir: widened(f(spark, sf_dir)))
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -86,8 +92,7 @@ def top(found: DataFrame, n: int) -> DataFrame:
 
 @query(ONE + " SELECT doc_id, len(ts) AS n_tokens, len(list_distinct(ts)) AS n_terms, coalesce(ts[1], '') AS first_term, coalesce(ts[len(ts)], '') AS last_term FROM d")
 def tokens_by_doc(spark, sf_dir):
-    ts = latin_terms(F.coalesce("text", F.lit("")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", ts.alias("ts"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", latin_terms(F.coalesce("text", F.lit(""))).alias("ts"))
     return rows.select("doc_id", F.size("ts").alias("n_tokens"), F.size(F.array_distinct("ts")).alias("n_terms"), F.coalesce(F.get("ts", F.lit(0)), F.lit("")).alias("first_term"), F.coalesce(F.get("ts", F.size("ts") - 1), F.lit("")).alias("last_term"))
 
 
@@ -301,7 +306,7 @@ def vector_centered(spark, sf_dir):
 
 
 @query(ONE + """, n AS (SELECT count(*) AS n FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
-SELECT doc_id, sum(CASE WHEN true THEN 0 END)::INT AS i, round(sum((1 + ln(tf)) * (ln(n / df) + 1) * length(term)), 4) AS value FROM tf JOIN df USING (term), n GROUP BY doc_id""")
+SELECT doc_id, 0::BIGINT AS i, round(sum((1 + ln(tf)) * (ln(n / df) + 1) * length(term)), 4) AS value FROM tf JOIN df USING (term), n GROUP BY doc_id""")
 def pooled_vector(spark, sf_dir):
     tf = all_terms(spark, sf_dir).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -352,7 +357,7 @@ def hybrid_topk(spark, sf_dir):
 SELECT doc_id, arg_min(s, (-n, s)) AS start FROM c GROUP BY doc_id""")
 def snippet_window(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", latin_terms(F.coalesce("text", F.lit(""))).alias("ts"))
-    return rows.select("doc_id", tx.snippet_start(F.col("ts"), ["of", "de", "der"]).alias("start")).filter("start IS NOT NULL")
+    return rows.filter(F.arrays_overlap("ts", F.array(F.lit("of"), F.lit("de"), F.lit("der")))).select("doc_id", tx.snippet_start(F.col("ts"), ["of", "de", "der"]).alias("start"))
 
 
 @query(f"WITH {DOCS} SELECT doc_id, regexp_replace(replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), '(^|[^A-Za-z])(of)($|[^A-Za-z])', '\\1<em>\\2</em>\\3', 'g') AS title FROM f")
@@ -417,7 +422,7 @@ def html_main_text(spark, sf_dir):
 META = [("<meta name='description' content='First &amp; best'>", 1), ('<META content="Second" name="description"/>', 2), ("<title>x</title>", 3)]
 
 
-@query("SELECT * FROM (VALUES (1, 'First & best'), (2, 'Second'), (3, '')) v(page_id, description)")
+@query("SELECT page_id::BIGINT AS page_id, description FROM (VALUES (1, 'First & best'), (2, 'Second'), (3, '')) v(page_id, description)")
 def html_description(spark, sf_dir):
     return spark.createDataFrame(META, "html string, page_id int").select("page_id", web.page_description(web.stripped_page(F.col("html"))).alias("description"))
 
@@ -456,7 +461,7 @@ def url_policy(spark, sf_dir):
     return spark.createDataFrame([(u,) for u, _ in TARGETS], "url string").select("url", F.coalesce(web.target_reason(F.col("url")), F.lit("")).alias("reason"))
 
 
-BFS = HREFS + ", e AS (SELECT DISTINCT page_id, link FROM g), b0 AS (SELECT DISTINCT link AS url FROM e WHERE page_id % 2 = 0), k AS (SELECT DISTINCT a.link AS src, b.link AS dst FROM e a JOIN e b USING (page_id)), b1 AS (SELECT DISTINCT dst AS url FROM k JOIN b0 ON src = url EXCEPT SELECT url FROM b0), b2 AS (SELECT DISTINCT dst AS url FROM k JOIN b1 ON src = url EXCEPT (SELECT url FROM b0 UNION SELECT url FROM b1)) SELECT url, 0 AS depth FROM b0 UNION ALL SELECT url, 1 FROM b1 UNION ALL SELECT url, 2 FROM b2"
+BFS = HREFS + ", e AS (SELECT DISTINCT page_id, link FROM g), b0 AS (SELECT DISTINCT link AS url FROM e WHERE page_id % 2 = 0), k AS (SELECT DISTINCT a.link AS src, b.link AS dst FROM e a JOIN e b USING (page_id)), b1 AS (SELECT DISTINCT dst AS url FROM k JOIN b0 ON src = url EXCEPT SELECT url FROM b0), b2 AS (SELECT DISTINCT dst AS url FROM k JOIN b1 ON src = url EXCEPT (SELECT url FROM b0 UNION SELECT url FROM b1)) SELECT url, 0::BIGINT AS depth FROM b0 UNION ALL SELECT url, 1 FROM b1 UNION ALL SELECT url, 2 FROM b2"
 
 
 @query(BFS)
@@ -499,7 +504,7 @@ def eval_metrics(spark, sf_dir):
     return _metrics(spark, sf_dir).select("query_id", *[r6(c).alias(c) for c in ("recall", "precision", "ndcg", "rr")])
 
 
-@query(EVAL + " SELECT kind, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS mrr, round(avg((recall > 0)::INT), 6) AS hit_rate FROM x WHERE recall IS NOT NULL GROUP BY kind")
+@query(EVAL + " SELECT kind::BIGINT AS kind, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS mrr, round(avg((recall > 0)::INT), 6) AS hit_rate FROM x WHERE recall IS NOT NULL GROUP BY kind")
 def eval_by_kind(spark, sf_dir):
     return evaluation.averaged(_metrics(spark, sf_dir), "kind")
 

@@ -20,15 +20,16 @@ def json_lines(lines: DataFrame, source: str = "doc") -> DataFrame:
     return out.select(F.coalesce("id", F.concat(F.lit(f"{source}-"), F.col("line").cast("string"))).alias("ext_id"), "url", "title", "body", "tags")
 
 
-def numbered_lines(spark: SparkSession, paths) -> DataFrame:
-    """(file, value, line from 1) of text files; a file's lines are numbered where it is read."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+def numbered_lines(spark: SparkSession, paths, names: str | None = None) -> DataFrame:
+    """(file, value, line from 1) of text files, or of a folder's files with such names; a file's lines are numbered where
+    it is read."""
+    files = spark.read.text(paths, wholetext=True, pathGlobFilter=names).select(F.col("_metadata.file_path").alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", r"\R")).alias("i", "value")).select("file", "value", (F.col("i") + 1).alias("line"))
 
 
 def read_corpus(spark: SparkSession, directory: str) -> DataFrame:
     """All *.jsonl files of a folder, not of its subfolders."""
-    lines = numbered_lines(spark, f"{directory.rstrip('/')}/*.jsonl")
+    lines = numbered_lines(spark, directory, "*.jsonl")
     named = lines.withColumn("source", F.regexp_extract("file", r"([^/]+)\.jsonl$", 1))
     out = json_lines(named.select("value", F.struct("source", "line").alias("line")).select("value", F.concat_ws("-", "line.source", F.col("line.line").cast("string")).alias("line")), "")
     return out.withColumn("ext_id", F.regexp_replace("ext_id", "^-", ""))
