@@ -65,7 +65,7 @@ def statistics(text: str) -> tuple:
     words = data.split()  # bytes split at ASCII white space only
     word_chars = len(text) - sum(text.count(c) for c in SPACES)
     n_dup, seen, lines = 0, set(), {}
-    longest = second = (0, 0)
+    longest = second = (0, b"", 0)
     for line in data.split(b"\n"):
         own = line.split()
         if not own:
@@ -73,14 +73,15 @@ def statistics(text: str) -> tuple:
         if line in seen:
             n_dup += 1
         seen.add(line)
-        h = xxhash.xxh3_64_intdigest(b" ".join(own).translate(DIGITS)) - 2**63
+        norm = b" ".join(own).translate(DIGITS)
+        h = xxhash.xxh3_64_intdigest(norm) - 2**63
         if h not in lines:
-            second, longest = sorted((second, longest, (len(own), h)))[1:]
+            second, longest = sorted((second, longest, (len(own), norm, h)))[1:]
         lines[h] = lines.get(h, 0) + len(own)
     repeated = repeat_words(words)
     n = len(words)
     failed = n < MIN_WORDS or repeated > MAX_REPEATED * n
-    return n, word_chars, sum(text.count(c) for c in SYMBOLS), n_dup, repeated, failed, [{"h": h, "n": k} for h, k in lines.items()], longest[1], second[1]
+    return n, word_chars, sum(text.count(c) for c in SYMBOLS), n_dup, repeated, failed, [{"h": h, "n": k} for h, k in lines.items()], longest[2], second[2]
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -116,3 +117,26 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def op7(docs: DataFrame) -> DataFrame:
     return judged(docs).select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+ws AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS x FROM d),
+w AS (SELECT r, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM ws),
+g AS (SELECT r, i, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p AS g FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+tw AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g WHERE g IS NOT NULL) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, i + unnest([0, 1, 2]) AS j FROM tw) GROUP BY r),
+ls AS (SELECT r, string_split(t, chr(10)) AS x FROM d),
+l AS (SELECT r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm FROM (SELECT r, unnest(x) AS line FROM ls)),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE n > 0 GROUP BY r),
+dl AS (SELECT r, norm, any_value(n) AS n, sum(n) AS total FROM l WHERE n > 0 GROUP BY r, norm),
+o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY n DESC, encode(norm) DESC) AS k FROM dl),
+top AS (SELECT r, max(norm) FILTER (k = 1) AS a, coalesce(max(norm) FILTER (k = 2), '') AS b FROM o GROUP BY r),
+seen AS (SELECT host, norm, count(DISTINCT CASE WHEN norm = a THEN b ELSE a END) AS n FROM dl JOIN top USING (r) JOIN d USING (r) GROUP BY host, norm),
+hosts AS (SELECT host, count(DISTINCT a) AS n FROM top JOIN d USING (r) GROUP BY host),
+over AS (SELECT host, norm FROM seen JOIN hosts USING (host) WHERE seen.n > 20 AND seen.n > 0.02e0 * hosts.n),
+lost AS (SELECT r, sum(total) AS n FROM dl JOIN d USING (r) SEMI JOIN over ON over.host = d.host AND over.norm = dl.norm GROUP BY r),
+s AS (SELECT r, doc_id, len(x) AS n_words, coalesce(list_sum(list_transform(x, lambda y: length(y))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS lost FROM d JOIN ws USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN lost USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - lost >= 0.4e0 * n_words AS kept FROM f
+"""

@@ -29,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
+    "op7_quality_rules": quality_rules.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
