@@ -156,3 +156,37 @@ def op3(docs: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     both = F.concat(F.transform("spans", lambda x: F.struct(x["kind"], x["start"], x["finish"])), F.transform("terms", lambda x: F.struct(x["kind"], x["start"], x["finish"])))
     return found.select(F.col("id").alias("doc_id"), *[count(kind) for kind in KINDS], F.sha2(written("spans"), 256).alias("base_sha256"), written(both).alias("spans"))
+
+
+_SQL_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_matches = " UNION ALL ".join(f"SELECT r, {i} AS o, '{k}' AS kind, regexp_extract_all(t, '{x}') AS v, string_split_regex(t, '{x}') AS g FROM d" for i, (k, x) in enumerate(_SQL_PATTERNS.items()))
+_placed = "sum(length(g)) OVER w + coalesce(sum(length(v)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT count(*)::DOUBLE AS n FROM d),
+m AS ({_matches}),
+x AS (SELECT r, o, kind, unnest(v) AS v, unnest(g[1:len(v)]) AS g, generate_subscripts(v, 1) AS k FROM m WHERE len(v) > 0),
+p AS (SELECT r, o, kind, v, regexp_replace(v, '[^0-9]', '', 'g') AS dg, ({_placed})::BIGINT AS s FROM x WINDOW w AS (PARTITION BY r, o ORDER BY k)),
+b AS (SELECT r, o, kind, lower(v) AS entity, s, s + length(v) AS e FROM p WHERE CASE kind
+  WHEN 'email' THEN true
+  WHEN 'ip' THEN regexp_matches(v, '^(0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])\.){{3}}0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])$')
+  WHEN 'card' THEN length(dg) BETWEEN 16 AND 19 AND list_sum(list_transform(list_transform(range(length(dg)), lambda i: substr(dg, (length(dg) - i)::BIGINT, 1)::INT * (i % 2 + 1)), lambda y: CASE WHEN y > 9 THEN y - 9 ELSE y END)) % 10 = 0
+  ELSE length(dg) BETWEEN 8 AND 15 END),
+c AS (SELECT r, kind, entity, greatest(s - {CONTEXT}, 0) AS a, substr(t, (greatest(s - {CONTEXT}, 0) + 1)::BIGINT, (s - greatest(s - {CONTEXT}, 0))::BIGINT) AS near FROM b JOIN d USING (r) UNION ALL SELECT r, kind, entity, e, substr(t, (e + 1)::BIGINT, {CONTEXT}) FROM b JOIN d USING (r)),
+ci AS (SELECT row_number() OVER () AS i, *, regexp_extract_all(near, '{TERM}') AS vs, string_split_regex(near, '{TERM}') AS gs FROM c),
+cx AS (SELECT i, r, kind, entity, a, unnest(vs) AS v, unnest(gs[1:len(vs)]) AS g, generate_subscripts(vs, 1) AS k FROM ci WHERE len(vs) > 0),
+ct AS (SELECT r, kind, entity, lower(v) AS term, (a + {_placed})::BIGINT AS s, length(v) AS n FROM cx WINDOW w AS (PARTITION BY i ORDER BY k)),
+t AS (SELECT ct.r, ct.kind, ct.entity, term, ct.s, ct.s + n AS e FROM ct WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = ct.r AND b.s < ct.s + ct.n AND b.e > ct.s)),
+nb AS (SELECT kind, entity, term, count(DISTINCT r) AS nboth FROM t GROUP BY ALL HAVING count(DISTINCT r) >= {SUPPORT}),
+ne AS (SELECT kind, entity, count(DISTINCT r) AS ne FROM b GROUP BY ALL),
+nt AS (SELECT term, count(*) AS nt FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '{TERM}'))) AS term FROM d) GROUP BY term),
+di AS (SELECT kind, entity, term FROM nb JOIN ne USING (kind, entity) JOIN nt USING (term), n WHERE ne < n AND round(log2(nboth * n / (ne * greatest(nt, nboth))) / log2(n / ne), 6) >= {GENERALISE}),
+ts AS (SELECT DISTINCT r, s, e FROM t SEMI JOIN di ON t.kind = di.kind AND t.entity = di.entity AND t.term = di.term),
+u AS (SELECT r, o, kind || ':' || s || ':' || e AS span, s, e FROM b UNION ALL SELECT r, 4, 'term:' || s || ':' || e, s, e FROM ts),
+q AS (SELECT r, count(*) FILTER (o = 0) AS n_email, count(*) FILTER (o = 1) AS n_ip, count(*) FILTER (o = 2) AS n_card, count(*) FILTER (o = 3) AS n_phone, string_agg(span, ',' ORDER BY o, s) FILTER (o < 4) AS base, string_agg(span, ',' ORDER BY o, s) AS spans FROM u GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN q USING (r)
+"""

@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
+    "op3_personal_data": pii.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
