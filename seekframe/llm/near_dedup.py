@@ -3,20 +3,21 @@
 1. A text is its set of distinct word shingles (64-bit hashes), with `TOKENS` minwise tokens. Rows with equal sets are
    one class; only the class's least document goes on, so copies cost one row each and are never paired.
 2. `TREES` independent trees. A tree has its own order of the minwise tokens; level d branches a node's documents by
-   the d-th token. Nodes with over `NODE` documents branch on, down to `DEPTH`; nodes with more than `TASK` documents
-   are branched by Spark level by level, and what is still larger at the last level is dealt into chunks, so no task
-   holds more than about TASK documents of a node. A pair of similarity s shares a node at level d with chance s**d a
-   tree: 1 - 0.2**TREES for an 0.8 pair at level 1, 0.9998 over all trees at level 3.
-3. In a small node all pairs are compared on 8 bits of each token. Pairs surely alike are emitted as a spanning forest,
-   joined in an order of the tree's own; pairs that may be alike are all emitted unless the forest joins them.
+   the d-th token. Nodes with more than `TASK` documents are branched by Spark level by level, and what is still larger
+   at the last level is dealt into chunks, so no task holds more than about TASK documents of a node. A pair of
+   similarity s shares a node at level d with chance s**d a tree: 1 - 0.2**TREES for an 0.8 pair at level 1.
+3. In each node all documents are compared on 8 bits of each token. Only a spanning forest of the pairs that may be
+   alike is emitted, likeliest pairs first, ties in an order of the tree's own: under one pair a document.
 4. Each document's likeliest pair is confirmed on full sets, built anew from the texts of both sides; components are
-   found by hooking and pointer jumping, and all other pairs between different components are confirmed next. A pair
-   is only skipped if confirmed links already join its two documents. No partner, pair or candidate is capped.
+   found by hooking and pointer jumping, and the forests' other pairs between different components are confirmed next.
+5. Pairs that the forests left out are searched again where confirmed links don't join them: the nodes' documents
+   branch on by their tree's next tokens until a node has at most `NODE` / 2 pairs of two components a document, or to
+   level `DEPTH` (then in overlapping runs of NODE), and there every such pair that may be alike is confirmed. No
+   partner, pair or candidate is capped; what is missed is missed by the trees' chances alone.
 
 A null text and a text without words have the empty set and are linked with nothing. Fewer words than a shingle are one
-shingle. A null id sorts first. Rows that repeat an id, with equal or
-other texts, are one node of the graph. An empty table gives an
-empty result. Other columns are ignored.
+shingle. A null id sorts first. Rows that repeat an id, with equal or other texts, are one node of the graph. An empty
+table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from ._common import id_back, id_key, lookup, prepare, saved, text_of
 
-TOKENS, TREES, DEPTH, NODE, TASK = 64, 12, 8, 48, 2000
-#: Shares of equal tokens from which a pair may be alike (0.8 less 4 standard deviations) and surely is.
-MAYBE, SURE = 0.6, 0.9
+TOKENS, TREES, DEPTH, NODE, TASK = 64, 12, 8, 48, 4000
+#: Share of equal tokens from which a pair may be alike: 0.8 less 4 standard deviations.
+MAYBE = 0.6
 PERCENT = 80
 #: Tables of ids are broadcast up to so many rows, after a count; beyond, both sides are shuffled.
 ID_ROWS = 1_000_000
@@ -117,90 +118,112 @@ def first_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"tree": np.full(len(batch), tree, np.int32), "node": node, "key": batch["key"], "signs": signs})
 
 
-def compare(keys: np.ndarray, signs: np.ndarray, tree: int, out: list) -> None:
-    """Candidate pairs of a small node."""
-    m = len(keys)
-    if m < 2:
-        return
-    equal = np.empty((m, m), np.int16)
-    for a in range(0, m, 64):
-        equal[a : a + 64] = (signs[a : a + 64, None, :] == signs[None, :, :]).sum(2)
-    rows, cols = np.nonzero(np.triu(equal >= MAYBE * TOKENS, 1))
-    if not len(rows):
+def equal_tokens(signs: np.ndarray) -> np.ndarray:
+    """For all pairs of rows the number of equal bytes; 0 on the diagonal and where it is under MAYBE."""
+    words, m = np.ascontiguousarray(signs).view(np.uint64), len(signs)
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    equal = np.empty((m, m), np.uint8)
+    for a in range(0, m, 32):
+        x = words[a : a + 32, None, :] ^ words[None, a:, :]
+        zero = ~(((x & low) + low) | x | low)  # the high bit of each byte that is zero
+        equal[a : a + 32, a:] = np.bitwise_count(zero).sum(2, dtype=np.uint8)
+        equal[a:, a : a + 32] = equal[a : a + 32, a:].T
+    np.fill_diagonal(equal, 0)
+    equal[equal < MAYBE * TOKENS] = 0
+    return equal
+
+
+def forest(keys: np.ndarray, signs: np.ndarray, labels: np.ndarray, tree: int, level: int, out: list) -> None:
+    """A spanning forest of a node's pairs that may be alike, likeliest first: each round joins components by their best pair."""
+    order = np.argsort(mixed(keys.astype(np.uint64) + np.uint64(tree * 104729)))
+    keys, signs = keys[order], signs[order]
+    equal = equal_tokens(signs)
+    some = equal.any(1)
+    keys, equal = keys[some], equal[some][:, some]
+    m, part = len(keys), np.arange(len(keys))
+    while m:
+        free = np.where(part[:, None] != part[None, :], equal, 0)
+        to = free.argmax(1)
+        value = free[np.arange(m), to]
+        best = np.lexsort((-value.astype(np.int64), part))
+        best = best[np.concatenate(([True], part[best][1:] != part[best][:-1]))]
+        best = best[value[best] > 0]
+        if not len(best):
+            break
+        up = np.arange(m)
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        taken = []
+        for i in best.tolist():
+            a, b = root(int(part[i])), root(int(part[to[i]]))
+            if a != b:
+                up[a] = b
+                taken.append(i)
+        part = np.array([root(x) for x in range(m)])[part]
+        out.append(np.stack((keys[taken], keys[to[taken]], value[taken].astype(np.int64))))
+
+
+def unresolved(keys: np.ndarray, signs: np.ndarray, labels: np.ndarray, tree: int, level: int, out: list) -> None:
+    """The pairs of different labels that may be alike, in the nodes below this one that have few of them."""
+    m, held = len(keys), np.unique(labels, return_counts=True)[1]
+    if len(held) < 2:
         return
-    value = equal[rows, cols]
-    sure = value >= SURE * TOKENS
-    parent = list(range(m))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    turn = mixed(keys[rows].astype(np.uint64) * np.uint64(31) + keys[cols].astype(np.uint64) + np.uint64(tree * 7919))
-    tree_edges = []
-    for i in np.flatnonzero(sure)[np.argsort(turn[sure])].tolist():
-        a, b = root(int(rows[i])), root(int(cols[i]))
-        if a != b:
-            parent[a] = b
-            tree_edges.append(i)
-    roots = np.array([root(x) for x in range(m)])
-    take = np.concatenate((np.array(tree_edges, np.int64), np.flatnonzero(~sure & (roots[rows] != roots[cols]))))
-    out.append(np.stack((keys[rows[take]], keys[cols[take]], value[take].astype(np.int64))))
-
-
-def branch(keys: np.ndarray, signs: np.ndarray, tree: int, depth: int, out: list) -> None:
-    if len(keys) <= NODE:
-        compare(keys, signs, tree, out)
-    elif depth >= DEPTH:
+    if m * m - (held**2).sum() <= NODE * m:  # pairs of two labels, twice
+        equal = np.triu(equal_tokens(signs), 1)
+        equal[labels[:, None] == labels[None, :]] = 0
+        rows, cols = np.nonzero(equal)
+        out.append(np.stack((keys[rows], keys[cols], equal[rows, cols].astype(np.int64))))
+    elif level >= DEPTH:
         # alike in all chosen tokens: an order of the tree's own, in overlapping runs
         order = np.argsort(mixed(keys.astype(np.uint64) + np.uint64(tree * 104729)))
-        keys, signs = keys[order], signs[order]
         for a in range(0, len(keys), NODE // 2):
-            compare(keys[a : a + NODE], signs[a : a + NODE], tree, out)
+            own = order[a : a + NODE]
+            unresolved(keys[own], signs[own], labels[own], tree, level, out)
     else:
-        value = signs[:, ORDERS[tree, depth]]
+        value = signs[:, ORDERS[tree, level]]
         order = np.argsort(value, kind="stable")
-        cuts = np.flatnonzero(np.diff(value[order])) + 1
-        for own in np.split(order, cuts):
-            if len(own) > 1:
-                branch(keys[own], signs[own], tree, depth + 1, out)
+        for own in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
+            unresolved(keys[own], signs[own], labels[own], tree, level + 1, out)
 
 
-def node_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by node -> a, b (a < b), equal."""
-    held: list[pd.DataFrame] = []
+def node_pairs(search):
+    """For rows (tree, node, level, key, signs, label) sorted by tree and node -> a, b (a < b), equal of each node's search."""
 
-    def flush(rows: pd.DataFrame, out: list) -> None:
-        node, key = rows["node"].to_numpy(np.int64), rows["key"].to_numpy(np.int64)
-        tree, level = rows["tree"].to_numpy(np.int32), rows["level"].to_numpy(np.int32)
-        cuts = np.concatenate(([0], np.flatnonzero((node[1:] != node[:-1]) | (tree[1:] != tree[:-1])) + 1, [len(rows)]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if b - a > 1:
-                signs = np.frombuffer(b"".join(rows["signs"].iloc[a:b]), np.uint8).reshape(-1, TOKENS)
-                branch(key[a:b], signs, int(tree[a]), int(level[a]), out)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def found(rows: pd.DataFrame) -> pd.DataFrame:
+            out: list[np.ndarray] = [np.empty((3, 0), np.int64)]
+            node, key, label = (rows[c].to_numpy(np.int64) for c in ("node", "key", "label"))
+            tree, level = rows["tree"].to_numpy(np.int32), rows["level"].to_numpy(np.int32)
+            cuts = np.concatenate(([0], np.flatnonzero((node[1:] != node[:-1]) | (tree[1:] != tree[:-1])) + 1, [len(rows)]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b - a > 1:
+                    signs = np.frombuffer(b"".join(rows["signs"].iloc[a:b]), np.uint8).reshape(-1, TOKENS)
+                    search(key[a:b], signs, label[a:b], int(tree[a]), int(level[a]), out)
+            x, y, equal = np.concatenate(out, axis=1)
+            return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "equal": equal}).drop_duplicates()
 
-    def frame(out: list) -> pd.DataFrame:
-        x, y, equal = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "equal": equal}).drop_duplicates()
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pd.concat([*held, batch], ignore_index=True)
+            last = (rows["node"] == rows["node"].iloc[-1]) & (rows["tree"] == rows["tree"].iloc[-1])
+            held = [rows[last]]
+            yield found(rows[~last])
+        if held:
+            yield found(held[0])
 
-    for batch in batches:
-        if not len(batch):
-            continue
-        rows, out = pd.concat([*held, batch], ignore_index=True), []
-        last = (rows["node"] == rows["node"].iloc[-1]) & (rows["tree"] == rows["tree"].iloc[-1])
-        held = [rows[last]]
-        flush(rows[~last], out)
-        yield frame(out)
-    if held:
-        out = []
-        flush(held[0], out)
-        yield frame(out)
-
-
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b, equal), a < b: pairs of class representatives (key, tokens) that share a small node."""
+    return run
+
+
+def tree_nodes(classes: DataFrame) -> DataFrame:
+    """(tree, node, level, key, signs): each class representative (key, tokens) in a node of at most about TASK of each tree."""
     rows = classes.mapInPandas(first_nodes, "tree int, node long, key long, signs binary").withColumn("level", F.lit(1))
     rows = saved(rows, "nodes")
     done, level = [], 1
@@ -224,8 +247,13 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     every = done[0]
     for x in done[1:]:
         every = every.unionByName(x)
-    pairs = every.repartition("tree", "node").sortWithinPartitions("tree", "node", "key").mapInPandas(node_pairs, "a long, b long, equal long")
-    return pairs.groupBy("a", "b").agg(F.max("equal").alias("equal"))
+    return every.select("tree", "node", "level", "key", "signs")
+
+
+def candidate_pairs(nodes: DataFrame, search) -> DataFrame:
+    """(a, b, equal), a < b, found by search in the nodes (tree_nodes with label)."""
+    pairs = nodes.repartition("tree", "node").sortWithinPartitions("tree", "node", "key").mapInPandas(node_pairs(search), "a long, b long, equal long")
+    return pairs.filter("a <> b").groupBy("a", "b").agg(F.max("equal").alias("equal"))
 
 
 def confirm(k: int, percent: int):
@@ -288,15 +316,20 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFram
     found = saved(sets(docs, k), "sets")
     members = found.filter("n_shingles > 0")
     classes = saved(members.groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.min_by("tokens", "key").alias("tokens")), "classes")
-    pairs = saved(candidate_pairs(classes.select(F.col("rep").alias("key"), "tokens")).filter("a <> b"), "pairs")
-    involved = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = saved(docs.select(id_key().alias("key"), text_of().alias("t")).join(lookup(saved(involved, "involved"), ID_ROWS), "key", "left_semi"), "texts")
+    nodes = tree_nodes(classes.select(F.col("rep").alias("key"), "tokens"))
+    pairs = saved(candidate_pairs(nodes.withColumn("label", F.col("key")), forest), "pairs")
+    involved = saved(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), "involved")
+    texts = saved(docs.select(id_key().alias("key"), text_of().alias("t")).join(lookup(involved, ID_ROWS), "key", "left_semi"), "texts")
     best = saved(pairs.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")), "best")
     links = saved(confirmed(best, texts, k, percent), "confirmed")
     labels = components(links)
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     rest = labelled(labelled(rest.withColumns({"x": F.col("a"), "y": F.col("b")}), labels, "a"), labels, "b").filter("a <> b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = components(confirmed(saved(rest, "rest"), texts, k, percent), labels)
+    # a document without a pair in any forest has none in any node
+    marked = saved(labelled(involved.withColumn("label", F.col("key")), labels, "label"), "marked")
+    again = candidate_pairs(nodes.join(lookup(marked, ID_ROWS), "key"), unresolved).select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    labels = components(confirmed(saved(again, "again"), texts, k, percent), labels)
     ups = labelled(classes.select("c1", "c2", F.col("rep").alias("component")), labels, "component")
     return found.join(ups, ["c1", "c2"], "left").select("key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
 
