@@ -6,8 +6,9 @@
 3. The distinct repeated hashes are dealt to shards of about `SHARD_KEYS` keys. A shard is one minimal perfect hash:
    a pilot per bucket places every key in a slot of its own, and arrays hold by slot two 64-bit fingerprints,
    the first document and the count. Shards are one row each (about 34 bytes a key).
-4. The documents' hashes go to their shard, dealt by document over `SALTS` copies of it, so that a frequent line does
-   not load one task. A task reads the shard's arrays first and then probes them, one array read a line, no join.
+4. The documents' hashes go to their shard, dealt by document over copies of it, so that a frequent line does not load
+   one task: `SALTS` copies, or as many more as give each at most about `PROBES` hashes, by the counts of the shard's own
+   lines. A task reads the shard's arrays first and then probes them, one array read a line, no join.
 
 A null text is one empty line; a null id sorts before all others and is a document of its own. Rows that repeat a
 doc_id count as one document. An empty table gives an empty result. Other columns are ignored.
@@ -23,11 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, ascii_lower, id_back, id_key, prepare, saved, text_of
+from ._common import NULL_ID, ascii_lower, id_back, id_key, lookup, prepare, saved, text_of
 
 BLANK = " \t\n\x0b\f\r"
-#: Keys of a shard, which one task holds; copies of a shard, among which the documents are dealt.
-SHARD_KEYS, SALTS = 25_000, 16
+#: Keys of a shard, which one task holds; least copies of a shard, among which the documents are dealt; hashes for a copy.
+SHARD_KEYS, SALTS, PROBES = 25_000, 16, 250_000
 #: Mean keys of a pilot's bucket.
 BUCKET = 4
 
@@ -168,6 +169,17 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def copies_of(keyed: DataFrame, n_lines: int, n_shards: int) -> tuple[int, DataFrame | None]:
+    """Copies of a usual shard; (shard, salts) of those that need more, if any. keyed: (shard, n_docs) of each key.
+
+    A table of at most n_lines / (SALTS * PROBES) rows. Lines that are no keys fall on all shards alike.
+    """
+    usual = max(SALTS, -(-n_lines // (n_shards * PROBES)))
+    more = keyed.groupBy("shard").agg(F.sum("n_docs").alias("load")).filter(F.col("load") > usual * PROBES)
+    more = saved(more.select("shard", (F.lit(usual) + F.ceil(F.col("load") / PROBES)).cast("int").alias("salts")), "hot_shards")
+    return usual, None if more.isEmpty() else lookup(more)
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """(key, drops array<long>): for each document the first hashes of the lines that it loses."""
     prepare(docs.sparkSession)
@@ -178,8 +190,10 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     n_shards = max(1, -(-keyed.count() // SHARD_KEYS))
     shard = F.pmod(F.shiftrightunsigned("h1", 32), F.lit(n_shards)).cast("int")
     shards = saved(keyed.groupBy(shard.alias("shard")).applyInPandas(shard_rows, SHARD_SCHEMA), "shards")
-    arrays = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), *[F.lit(0).cast("long").alias(c) for c in ("key", "h1", "h2")], "pilots", "m_h1", "m_h2", "first_doc", "rest")
-    probes = lines.select(shard.alias("shard"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), "key", "h1", "h2", *[F.lit(None).cast("binary").alias(c) for c in ("pilots", "m_h1", "m_h2", "first_doc", "rest")])
+    usual, hot = copies_of(keyed.select(shard.alias("shard"), "n_docs"), lines.count(), n_shards)
+    salted = lambda rows: rows.withColumn("salts", F.lit(usual)) if hot is None else rows.join(hot, "shard", "left").withColumn("salts", F.coalesce("salts", F.lit(usual)))
+    arrays = salted(shards).select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *[F.lit(0).cast("long").alias(c) for c in ("key", "h1", "h2")], "pilots", "m_h1", "m_h2", "first_doc", "rest")
+    probes = salted(lines.withColumn("shard", shard)).select("shard", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "key", "h1", "h2", *[F.lit(None).cast("binary").alias(c) for c in ("pilots", "m_h1", "m_h2", "first_doc", "rest")])
     out = arrays.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(probe, "key long, h long")
     return out.groupBy("key").agg(F.collect_set("h").alias("line_drops"))
 
