@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import lookup, prepare, saved, text_of
@@ -60,17 +60,25 @@ def features(text: str) -> list[float]:
     ]
 
 
+def group_of(column: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
+def row_digest() -> Column:
+    """64-bit hash of all that a document is judged by; with the id it finds the judged row again."""
+    return F.xxhash64(text_of(), group_of("source"), group_of("lang"))
+
+
 def featured(docs: DataFrame) -> DataFrame:
-    """row, id, host, path and the features x of every document."""
+    """row, id, host, path, digest and the features x of every document."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.drop(columns="t").assign(x=[features(t) for t in batch["t"]])
 
-    group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), group("source").alias("host"), F.concat(group("source"), F.lit("/"), group("lang")).alias("path"), text_of().alias("t"))
-    return rows.mapInPandas(run, "row long, id long, host string, path string, x array<double>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), group_of("source").alias("host"), F.concat(group_of("source"), F.lit("/"), group_of("lang")).alias("path"), row_digest().alias("digest"), text_of().alias("t"))
+    return rows.mapInPandas(run, "row long, id long, host string, path string, digest long, x array<double>")
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
@@ -124,7 +132,7 @@ def strength(groups: DataFrame) -> float:
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """row, id, evidence, host_posterior, path_posterior, score, kept for every row of docs."""
+    """row, id, digest, evidence, host_posterior, path_posterior, score, kept for every row of docs."""
     rows = saved(featured(docs), "features")
     bias, weights = train(rows, labels)
     return scored(rows, bias, weights)
@@ -136,7 +144,7 @@ def scored(rows: DataFrame, bias: float, weights: np.ndarray) -> DataFrame:
     value = F.lit(bias)
     for i in range(len(FEATURES)):
         value = value + F.col("x")[i] * float(weights[i]) + F.col("x")[i] * F.col("x")[i] * float(weights[len(FEATURES) + i])
-    rows = saved(rows.select("row", "id", "host", "path", (1 / (1 + F.exp(-F.greatest(F.least(value, F.lit(30.0)), F.lit(-30.0))))).alias("evidence")), "evidence")
+    rows = saved(rows.select("row", "id", "digest", "host", "path", (1 / (1 + F.exp(-F.greatest(F.least(value, F.lit(30.0)), F.lit(-30.0))))).alias("evidence")), "evidence")
     paths = saved(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("evidence").alias("sum")), "paths")
     total = paths.agg(F.sum("n").alias("n"), F.sum("sum").alias("sum")).first()
     prior = float(total["sum"] / total["n"]) if total["n"] else 0.5
@@ -147,7 +155,7 @@ def scored(rows: DataFrame, bias: float, weights: np.ndarray) -> DataFrame:
     s = strength(paths)
     paths = saved(paths.select("path", "host_posterior", ((F.lit(s) * F.col("parent") + F.col("sum")) / (F.lit(s) + F.col("n"))).alias("path_posterior")), "posteriors")
     out = rows.join(lookup(paths), "path").withColumn("score", 1 / (1 + F.exp(-(log_odds(F.col("evidence")) + log_odds(F.col("path_posterior")) - log_odds(F.lit(prior))))))
-    return out.select("row", "id", "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= 0.5).alias("kept"))
+    return out.select("row", "id", "digest", "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -353,6 +353,24 @@ def test_quality_classifier_shrinks_sparse_groups(spark):
     assert none.kept.all() and len(none) == len(rows)
 
 
+def test_forest_then_unresolved_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, near_dedup.TOKENS, dtype=np.uint8)
+    signs = np.stack([np.where(rng.random(near_dedup.TOKENS) < 0.1, rng.integers(0, 256, near_dedup.TOKENS, dtype=np.uint8), base) for _ in range(300)])
+    signs = np.concatenate((signs, rng.integers(0, 256, (50, near_dedup.TOKENS), dtype=np.uint8)))
+    keys, equal = np.arange(350), (signs[:, None, :] == signs[None, :, :]).sum(2)
+    found = near_dedup.equal_tokens(signs)
+    assert (found == np.where((equal >= near_dedup.MAYBE * near_dedup.TOKENS) & ~np.eye(350, dtype=bool), equal, 0)).all()
+    out = []
+    near_dedup.forest(keys, signs, keys, 0, 1, out)
+    a, b, value = np.concatenate(out, axis=1)
+    assert len(a) == 299 and (value == equal[a, b]).all() and len({*a.tolist(), *b.tolist()}) == 300
+    labels, out = np.where(keys < 290, 0, keys), []
+    near_dedup.unresolved(keys[:300], signs[:300], labels[:300], 0, 1, out)
+    pairs = {tuple(sorted(x)) for x in np.concatenate(out, axis=1)[:2].T.tolist()}
+    assert pairs == {(i, j) for j in range(290, 300) for i in range(j) if found[i, j]}
+
+
 # ---------------------------------------------------------------------- 10
 
 
@@ -384,9 +402,33 @@ def test_line_dedup(spark, odd):
     assert sorted((low if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == sorted(want)
 
 
+def test_hot_shards_get_more_copies(spark, odd, monkeypatch):
+    want = sorted(map(str, line_dedup.op10(odd).collect()))
+    monkeypatch.setattr(line_dedup, "SALTS", 1)
+    monkeypatch.setattr(line_dedup, "PROBES", 3)
+    assert sorted(map(str, line_dedup.op10(odd).collect())) == want
+    keyed = spark.createDataFrame([(0, 900), (0, 40), (1, 2), (2, 3)], "shard int, n_docs long")
+    usual, hot = line_dedup.copies_of(keyed, 30, 3)
+    assert usual == 4 and [tuple(r) for r in hot.collect()] == [(0, 318)]
+    assert line_dedup.copies_of(keyed.filter("shard > 0"), 30, 3)[1] is None
+
+
 # ---------------------------------------------------------------------- the pipeline
 
 
+def test_quality_stage_judges_rows_and_not_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    good = lambda: " ".join(rng.choice(WORDS) for _ in range(80)) + "."
+    bad = lambda: " ".join(rng.choice(WORDS) + "%%%" for _ in range(80))
+    rows = [(i, good() if i % 2 else bad(), "s") for i in range(200)] + [(300, good(), "s"), (300, bad(), "s"), (None, good(), "s"), (None, bad(), "s")]
+    spark.createDataFrame([(i, i % 2, 0) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = cp.quality(spark, table(spark, rows), str(tmp_path))
+    assert tuple(got.columns) == cp.COLUMNS
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted((str(i), t) for i, t, _ in rows if "%" not in t)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
