@@ -5,7 +5,7 @@ quality classifier -> line dedup -> MinHash near-dedup -> mixing sources to targ
 A stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as Parquet and read again
 before the next. All but the last return the columns of `documents`:
 
-- quality: documents scored under 0.5 go.
+- quality: documents scored under 0.5 go, row by row: another text under the same id stays.
 - lines: lines of at least 10 characters that an earlier document has go; documents of which no word is left go too.
   Texts and n_chars are those after the removal.
 - near_duplicates: five-word shingles, similarity 0.8; of each component the document with the least id stays.
@@ -15,7 +15,8 @@ before the next. All but the last return the columns of `documents`:
 - pack: byte-level ids, windows of 2,048 tokens.
 
 Nulls, empty texts, ties, repeated rows, empty tables and extra columns are as each operator's module states; columns
-beyond those of `documents` are dropped. Rows without an id are kept by every stage but deduplicated as one document.
+beyond those of `documents` are dropped. Rows without an id are deduplicated as one document; rows that repeat an id
+stay or go together in near_duplicates.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality_classifier.classified(docs, labels).filter("NOT kept AND id IS NOT NULL").select(F.col("id").alias("rejected"), "evidence").groupBy("rejected").agg(F.min("evidence").alias("evidence"))
-    return docs.join(judged, docs["doc_id"] == judged["rejected"], "left_anti").select(*COLUMNS)
+    judged = quality_classifier.classified(docs, labels).filter("NOT kept").select(id_key("id").alias("rejected"), "digest").distinct()
+    return docs.select(*COLUMNS).join(judged, (id_key() == F.col("rejected")) & (quality_classifier.row_digest() == F.col("digest")), "left_anti")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
