@@ -10,9 +10,9 @@
    alike is emitted, likeliest pairs first, ties in an order of the tree's own: under one pair a document.
 4. Each document's likeliest pair is confirmed on full sets, built anew from the texts of both sides; components are
    found by hooking and pointer jumping, and the forests' other pairs between different components are confirmed next.
-5. Pairs that the forests left out are searched again where confirmed links don't join them: the nodes' documents
-   branch on by their tree's next tokens until a node has at most `NODE` / 2 pairs of two components a document, or to
-   level `DEPTH` (then in overlapping runs of NODE), and there every such pair that may be alike is confirmed. No
+5. Pairs that the forests left out are searched again where confirmed links don't join them: in a node with at most
+   `NODE` / 2 pairs of two components that may be alike a document, every such pair is confirmed. The documents of more
+   crowded nodes that have such pairs are joined exactly: by the rarest shingles of their full sets (`prefix_pairs`). No
    partner, pair or candidate is capped; what is missed is missed by the trees' chances alone.
 
 A null text and a text without words have the empty set and are linked with nothing. Fewer words than a shingle are one
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from ._common import id_back, id_key, lookup, prepare, saved, text_of
 
 TOKENS, TREES, DEPTH, NODE, TASK = 64, 12, 8, 48, 4000
+#: Counters of shingles, which only order them, and rows of a block of a long list of the documents of a shingle.
+COUNTERS, BLOCK = 1 << 18, 2000
 #: Share of equal tokens from which a pair may be alike: 0.8 less 4 standard deviations.
 MAYBE = 0.6
 PERCENT = 80
@@ -169,26 +171,18 @@ def forest(keys: np.ndarray, signs: np.ndarray, labels: np.ndarray, tree: int, l
 
 
 def unresolved(keys: np.ndarray, signs: np.ndarray, labels: np.ndarray, tree: int, level: int, out: list) -> None:
-    """The pairs of different labels that may be alike, in the nodes below this one that have few of them."""
-    m, held = len(keys), np.unique(labels, return_counts=True)[1]
-    if len(held) < 2:
+    """The pairs of different labels that may be alike; in a crowded node, each document that has one, paired with itself."""
+    if len(np.unique(labels)) < 2:
         return
-    if m * m - (held**2).sum() <= NODE * m:  # pairs of two labels, twice
-        equal = np.triu(equal_tokens(signs), 1)
-        equal[labels[:, None] == labels[None, :]] = 0
-        rows, cols = np.nonzero(equal)
+    equal = equal_tokens(signs)
+    for a in range(0, len(keys), 256):
+        equal[a : a + 256][labels[a : a + 256, None] == labels[None, :]] = 0
+    if np.count_nonzero(equal) <= NODE * len(keys):
+        rows, cols = np.nonzero(np.triu(equal, 1))
         out.append(np.stack((keys[rows], keys[cols], equal[rows, cols].astype(np.int64))))
-    elif level >= DEPTH:
-        # alike in all chosen tokens: an order of the tree's own, in overlapping runs
-        order = np.argsort(mixed(keys.astype(np.uint64) + np.uint64(tree * 104729)))
-        for a in range(0, len(keys), NODE // 2):
-            own = order[a : a + NODE]
-            unresolved(keys[own], signs[own], labels[own], tree, level, out)
     else:
-        value = signs[:, ORDERS[tree, level]]
-        order = np.argsort(value, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
-            unresolved(keys[own], signs[own], labels[own], tree, level + 1, out)
+        own = keys[equal.any(1)]
+        out.append(np.stack((own, own, np.zeros(len(own), np.int64))))
 
 
 def node_pairs(search):
@@ -222,6 +216,73 @@ def node_pairs(search):
     return run
 
 
+def shingle_counts(texts: DataFrame, k: int) -> np.ndarray:
+    """By the lowest bits of a shingle: how many the texts have of those, in eighths of powers of two."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch["t"]:
+                np.add.at(held, (shingle_set(text, k) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        own = np.flatnonzero(held)
+        yield pd.DataFrame({"counter": own, "n": held[own]})
+
+    rows = texts.select("t").mapInPandas(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    found = rows.select(F.col("counter").cast("int"), F.round(8 * F.log2(F.col("n") + 1)).cast("short").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int16)
+    counts[found["counter"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def prefixes(k: int, percent: int, counts: np.ndarray):
+    """Rows (key, label, t) -> shingle, key, label, size, rest: the shingles, rarest first, of which an alike set must have one.
+
+    rest: how many shingles of the set are not before this one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shingles, sizes, rests, times = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+            for text in batch["t"]:
+                own = shingle_set(text, k)
+                n = len(own)
+                held = n - -(-percent * n // 100) + 1 if n else 0
+                order = np.lexsort((own, counts[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:held]
+                shingles.append(own[order])
+                sizes.append(np.full(held, n, np.int64))
+                rests.append(n - np.arange(held))
+                times.append(held)
+            key, label = (np.repeat(batch[c].to_numpy(np.int64), times) for c in ("key", "label"))
+            yield pd.DataFrame({"shingle": np.concatenate(shingles).view(np.int64), "key": key, "label": label, "size": np.concatenate(sizes), "rest": np.concatenate(rests)})
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b), a < b: every pair of texts (key, label, t) of different labels that may be alike, by a prefix-filter join.
+
+    Sets of x and y shingles are alike from percent * (x + y) / (100 + percent) common ones on. At the first common one
+    neither set may have less than that left; the smaller set has 2 * percent / (100 + percent) of itself left there.
+    """
+    rows = saved(texts.mapInPandas(prefixes(k, percent, shingle_counts(texts, k)), "shingle long, key long, label long, size long, rest long"), "prefixes")
+    small = (100 + percent) * F.col("rest") >= 2 * percent * F.col("size")
+    lists = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"), F.max(small).alias("small")).groupBy("shingle")
+    lists = lists.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("small").alias("small")).filter("most < n AND small")
+    lists = saved(lists.select("shingle", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("x_blocks"), F.ceil(F.col("n") / BLOCK).cast("int").alias("y_blocks")), "lists")
+    # of two labels one isn't the list's main one: those rows meet all, long lists in blocks, every block every other
+    rows = saved(rows.join(lookup(lists), "shingle"), "postings")
+
+    def side(name: str, other: str) -> DataFrame:
+        own = F.pmod(F.xxhash64("key"), F.col(f"{name}_blocks")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
+        return rows.select("shingle", "main", own.alias(f"{name}_at"), every.alias(f"{other}_at"), *[F.col(c).alias(f"{name}_{c}") for c in ("key", "label", "size", "rest")])
+
+    both = side("x", "y").filter("x_label <> main").join(side("y", "x").drop("main"), ["shingle", "x_at", "y_at"])
+    both = both.filter("x_label <> y_label AND (y_label = main OR x_key < y_key)")
+    both = both.filter((100 + percent) * F.least("x_rest", "y_rest") >= percent * (F.col("x_size") + F.col("y_size")))
+    return both.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).filter("a <> b").distinct()
+
+
 def tree_nodes(classes: DataFrame) -> DataFrame:
     """(tree, node, level, key, signs): each class representative (key, tokens) in a node of at most about TASK of each tree."""
     rows = classes.mapInPandas(first_nodes, "tree int, node long, key long, signs binary").withColumn("level", F.lit(1))
@@ -253,7 +314,7 @@ def tree_nodes(classes: DataFrame) -> DataFrame:
 def candidate_pairs(nodes: DataFrame, search) -> DataFrame:
     """(a, b, equal), a < b, found by search in the nodes (tree_nodes with label)."""
     pairs = nodes.repartition("tree", "node").sortWithinPartitions("tree", "node", "key").mapInPandas(node_pairs(search), "a long, b long, equal long")
-    return pairs.filter("a <> b").groupBy("a", "b").agg(F.max("equal").alias("equal"))
+    return pairs.groupBy("a", "b").agg(F.max("equal").alias("equal"))
 
 
 def confirm(k: int, percent: int):
@@ -328,8 +389,13 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFram
     labels = components(confirmed(saved(rest, "rest"), texts, k, percent), labels)
     # a document without a pair in any forest has none in any node
     marked = saved(labelled(involved.withColumn("label", F.col("key")), labels, "label"), "marked")
-    again = candidate_pairs(nodes.join(lookup(marked, ID_ROWS), "key"), unresolved).select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    labels = components(confirmed(saved(again, "again"), texts, k, percent), labels)
+    again = saved(candidate_pairs(nodes.join(lookup(marked, ID_ROWS), "key"), unresolved).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "again")
+    labels = components(confirmed(again.filter("a <> b"), texts, k, percent), labels)
+    crowded = saved(again.filter("a = b").select(F.col("a").alias("key")), "crowded")
+    if not crowded.isEmpty():
+        crowded = saved(labelled(crowded.withColumn("label", F.col("key")), labels, "label"), "crowded")
+        close = prefix_pairs(texts.join(lookup(crowded, ID_ROWS), "key").select("key", "label", "t"), k, percent)
+        labels = components(confirmed(saved(close.join(pairs, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"), "close"), texts, k, percent), labels)
     ups = labelled(classes.select("c1", "c2", F.col("rep").alias("component")), labels, "component")
     return found.join(ups, ["c1", "c2"], "left").select("key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
 
