@@ -12,7 +12,7 @@
    found by hooking and pointer jumping, and the forests' other pairs between different components are confirmed next.
 5. Pairs that the forests left out are searched again where confirmed links don't join them: in a node with at most
    `NODE` / 2 pairs of two components that may be alike a document, every such pair is confirmed. The documents of more
-   crowded nodes that have such pairs are joined exactly: by the rarest shingles of their full sets (`prefix_pairs`). No
+   crowded nodes that have such pairs, and all of first-level nodes over TASK, are joined exactly: by the rarest shingles of their full sets (`prefix_pairs`). No
    partner, pair or candidate is capped; what is missed is missed by the trees' chances alone.
 
 A null text and a text without words have the empty set and are linked with nothing. Fewer words than a shingle are one
@@ -224,14 +224,22 @@ def shingle_counts(texts: DataFrame, k: int) -> np.ndarray:
         for batch in batches:
             for text in batch["t"]:
                 np.add.at(held, (shingle_set(text, k) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        own = np.flatnonzero(held)
-        yield pd.DataFrame({"counter": own, "n": held[own]})
+        yield packed(held)
 
-    rows = texts.select("t").mapInPandas(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    found = rows.select(F.col("counter").cast("int"), F.round(8 * F.log2(F.col("n") + 1)).cast("short").alias("n")).toArrow()
-    counts = np.zeros(COUNTERS, np.int16)
-    counts[found["counter"].to_numpy()] = found["n"].to_numpy()
-    return counts
+    def packed(held: np.ndarray) -> pd.DataFrame:
+        parts = held.reshape(-1, 4096)
+        some = np.flatnonzero(parts.any(1))
+        return pd.DataFrame({"part": some, "n": [x.tobytes() for x in parts[some]]})
+
+    def added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.int64) for x in rows["n"])
+        return pd.DataFrame({"part": [key[0]], "n": [np.round(8 * np.log2(total + 1)).astype(np.int16).tobytes()]})
+
+    rows = texts.select("t").mapInPandas(run, "part int, n binary").groupBy("part").applyInPandas(added, "part int, n binary")
+    counts = np.zeros((COUNTERS // 4096, 4096), np.int16)
+    for row in rows.collect():
+        counts[row.part] = np.frombuffer(row.n, np.int16)
+    return counts.ravel()
 
 
 def prefixes(k: int, percent: int, counts: np.ndarray):
@@ -283,11 +291,14 @@ def prefix_pairs(texts: DataFrame, k: int, percent: int) -> DataFrame:
     return both.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).filter("a <> b").distinct()
 
 
-def tree_nodes(classes: DataFrame) -> DataFrame:
-    """(tree, node, level, key, signs): each class representative (key, tokens) in a node of at most about TASK of each tree."""
+def tree_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tree, node, level, key, signs): each class representative (key, tokens) in a node of at most about TASK of each tree.
+
+    Then (key): those whose first-level node is larger in some tree, so that it was branched or dealt into chunks.
+    """
     rows = classes.mapInPandas(first_nodes, "tree int, node long, key long, signs binary").withColumn("level", F.lit(1))
     rows = saved(rows, "nodes")
-    done, level = [], 1
+    done, level, parted = [], 1, rows.select("key").limit(0)
     while True:
         large = saved(rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > TASK), "large")
         if large.isEmpty():
@@ -296,6 +307,8 @@ def tree_nodes(classes: DataFrame) -> DataFrame:
         small = lookup(large)
         done.append(rows.join(small, ["tree", "node"], "left_anti"))
         rows = rows.join(small, ["tree", "node"])
+        if level == 1:
+            parted = rows.select("key").distinct()
         if level == DEPTH:
             # alike in all tokens so far: chunks in an order of the tree's own
             chunk = F.pmod(F.xxhash64("tree", "key"), F.ceil(F.col("held") / TASK))
@@ -308,7 +321,7 @@ def tree_nodes(classes: DataFrame) -> DataFrame:
     every = done[0]
     for x in done[1:]:
         every = every.unionByName(x)
-    return every.select("tree", "node", "level", "key", "signs")
+    return every.select("tree", "node", "level", "key", "signs"), saved(parted, "parted")
 
 
 def candidate_pairs(nodes: DataFrame, search) -> DataFrame:
@@ -377,21 +390,23 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFram
     found = saved(sets(docs, k), "sets")
     members = found.filter("n_shingles > 0")
     classes = saved(members.groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.min_by("tokens", "key").alias("tokens")), "classes")
-    nodes = tree_nodes(classes.select(F.col("rep").alias("key"), "tokens"))
+    nodes, parted = tree_nodes(classes.select(F.col("rep").alias("key"), "tokens"))
     pairs = saved(candidate_pairs(nodes.withColumn("label", F.col("key")), forest), "pairs")
     involved = saved(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), "involved")
-    texts = saved(docs.select(id_key().alias("key"), text_of().alias("t")).join(lookup(involved, ID_ROWS), "key", "left_semi"), "texts")
+    read = saved(involved.union(parted).distinct(), "read")
+    texts = saved(docs.select(id_key().alias("key"), text_of().alias("t")).join(lookup(read, ID_ROWS), "key", "left_semi"), "texts")
     best = saved(pairs.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")), "best")
     links = saved(confirmed(best, texts, k, percent), "confirmed")
     labels = components(links)
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     rest = labelled(labelled(rest.withColumns({"x": F.col("a"), "y": F.col("b")}), labels, "a"), labels, "b").filter("a <> b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = components(confirmed(saved(rest, "rest"), texts, k, percent), labels)
-    # a document without a pair in any forest has none in any node
+    # a document without a pair in any forest has none in any node, as those are now
     marked = saved(labelled(involved.withColumn("label", F.col("key")), labels, "label"), "marked")
     again = saved(candidate_pairs(nodes.join(lookup(marked, ID_ROWS), "key"), unresolved).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "again")
     labels = components(confirmed(again.filter("a <> b"), texts, k, percent), labels)
-    crowded = saved(again.filter("a = b").select(F.col("a").alias("key")), "crowded")
+    # pairs of a node that was parted may meet in none of its parts
+    crowded = saved(again.filter("a = b").select(F.col("a").alias("key")).union(parted).distinct(), "crowded")
     if not crowded.isEmpty():
         crowded = saved(labelled(crowded.withColumn("label", F.col("key")), labels, "label"), "crowded")
         close = prefix_pairs(texts.join(lookup(crowded, ID_ROWS), "key").select("key", "label", "t"), k, percent)

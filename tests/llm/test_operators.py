@@ -352,6 +352,16 @@ def test_near_duplicates_in_a_crowded_family(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: planted.get(i, i) for i in ids}
 
 
+def test_near_duplicates_in_nodes_larger_than_a_task(spark, monkeypatch):
+    rng = random.Random(32)
+    pages = family(rng, 500, (25, 34))
+    pages += [pages[20 * j][:180] + [f"c{j}x{i}" for i in range(20)] for j in range(25)]
+    rows = [(i, " ".join(t), "s") for i, t in enumerate(pages)]
+    monkeypatch.setattr(near_dedup, "TASK", 6)
+    got = near_dedup.op8(table(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i if i < 500 else 20 * (i - 500) for i in range(525)}
+
+
 # ---------------------------------------------------------------------- 9
 
 
