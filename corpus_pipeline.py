@@ -10,7 +10,8 @@ before the next. All but the last return the columns of `documents`:
   Texts and n_chars are those after the removal.
 - near_duplicates: five-word shingles, similarity 0.8; of each component the document with the least id stays.
 - mix: the golden-ratio schedule. A document is repeated for every pass of the schedule over its source that reads it;
-  a pass that reads a part of it only (at a block's end) keeps that part, from word to word. Sources over their target
+  a pass that reads a part of it only (at a block's end) keeps that part, from word to word. Rows that repeat an id
+  are sized, cut and repeated each on their own. Sources over their target
   lose documents, sources under it repeat theirs, at most three times.
 - pack: byte-level ids, windows of 2,048 tokens.
 
@@ -53,12 +54,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(copies, id_key() == F.col("copy"), "left_anti").select(*COLUMNS)
 
 
+def every_column() -> list:
+    """The values of COLUMNS, and which are null: hashes pass over nulls."""
+    return [F.col(c) for c in COLUMNS] + [F.col(c).isNull() for c in COLUMNS]
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed, pieces = mixing.mix_sources(docs)
+    # equal rows have one digest; they are interchangeable, so the passes of all of them are given to one
+    rows = docs.select(*COLUMNS, id_key().alias("key"), F.xxhash64(*every_column(), F.lit(1)).alias("d1"), F.xxhash64(F.lit(2), *every_column()).alias("d2"))
+    placed, pieces = mixing.mix_sources(rows, keep=("key", "d1", "d2"))
     passes = pieces.groupBy("row", "epoch").agg(F.min("begin").alias("begin"), F.sum("taken").alias("taken"))
-    passes = passes.join(placed.select("row", "mix_id", "size"), "row").groupBy(id_key("mix_id").alias("key")).agg(F.array_sort(F.collect_list(F.struct("epoch", "begin", "taken", "size"))).alias("passes"))
+    passes = passes.join(placed.select("row", "key", "d1", "d2", "size"), "row").select("key", "d1", "d2", F.struct("begin", "taken", "size").alias("p"))
+    rows = rows.dropDuplicates(["key", "d1", "d2"]).join(passes, ["key", "d1", "d2"])
     whole = F.col("p.taken") == F.col("p.size")
-    rows = docs.select(*COLUMNS).join(passes, id_key() == F.col("key")).withColumn("p", F.explode("passes"))
     words = F.regexp_extract_all(text_of(), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.array_join(F.slice(words, F.col("p.begin").cast("int") + 1, F.col("p.taken").cast("int")), "")
     text = F.when(whole, F.col("text")).otherwise(cut)

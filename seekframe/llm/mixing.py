@@ -30,9 +30,9 @@ SLOTS, MAX_EPOCHS, BUCKETS = 65_536, 3, 4096
 GOLDEN = 2_654_435_769
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
-    """(mix_id, mix_source, size): one row a document, without texts."""
-    return docs.select(F.col("doc_id").alias("mix_id"), F.col("source").cast("string").alias("mix_source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+def sized_documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(mix_id, mix_source, size) and the columns in keep: one row a document, without texts."""
+    return docs.select(F.col("doc_id").alias("mix_id"), F.col("source").cast("string").alias("mix_source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), *keep)
 
 
 def source_targets(sized: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -89,20 +89,21 @@ def placed_documents(sized: DataFrame) -> DataFrame:
     dealt = sized.withColumns({"shuffle": order[0], "bucket": F.conv(F.substring(order[0], 1, 3), 16, 10).cast("int")})
     sums = dealt.groupBy("mix_source", "bucket").agg(F.sum("size").alias("held"))
     sums = sums.select("mix_source", "bucket", (F.sum("held").over(Window.partitionBy("mix_source").orderBy("bucket")) - F.col("held")).alias("base"))
-    within = Window.partitionBy("mix_source", "bucket").orderBy("shuffle", "mix_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    keep = [c for c in sized.columns if c not in ("mix_id", "mix_source", "size")]
+    within = Window.partitionBy("mix_source", "bucket").orderBy("shuffle", "mix_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return dealt.join(sums, dealt["mix_source"].eqNullSafe(sums["mix_source"]) & (dealt["bucket"] == sums["bucket"])).select(dealt["mix_id"], dealt["mix_source"], "size", (F.col("base") + F.col("inner")).alias("start"))
+    return dealt.join(sums, dealt["mix_source"].eqNullSafe(sums["mix_source"]) & (dealt["bucket"] == sums["bucket"])).select(dealt["mix_id"], dealt["mix_source"], "size", *keep, (F.col("base") + F.col("inner")).alias("start"))
 
 
-def mix_sources(docs: DataFrame, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame]:
-    """(placed, pieces). placed: one row a document with row, size, start, source_size, target. pieces: the mix, one row
+def mix_sources(docs: DataFrame, max_epochs: int = MAX_EPOCHS, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(placed, pieces). placed: one row a document with row, size, start, source_size, target and the columns in keep. pieces: the mix, one row
     for each stretch that a slot reads of a document: row, epoch, slot, begin and taken (words of the document)."""
     prepare(docs.sparkSession)
-    sized = saved(sized_documents(docs), "sized")
+    sized = saved(sized_documents(docs, keep), "sized")
     targets = saved(source_targets(sized, max_epochs), "targets")
     small = lookup(targets)
     placed = placed_documents(sized)
-    placed = placed.join(small, placed["mix_source"].eqNullSafe(small["mix_source"])).select(F.monotonically_increasing_id().alias("row"), "mix_id", placed["mix_source"], "size", "start", "source_size", "target", "quota", block_tokens().alias("b"))
+    placed = placed.join(small, placed["mix_source"].eqNullSafe(small["mix_source"])).select(F.monotonically_increasing_id().alias("row"), "mix_id", placed["mix_source"], "size", *keep, "start", "source_size", "target", "quota", block_tokens().alias("b"))
     placed = saved(placed, "placed")
     slots = mix_schedule(targets)
     runs = placed.filter("size > 0 AND quota > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
