@@ -12,7 +12,8 @@ before the next. All but the last return the columns of `documents`:
 - mix: the golden-ratio schedule. A document is repeated for every pass of the schedule over its source that reads it;
   a pass that reads a part of it only (at a block's end) keeps that part, from word to word. Rows that repeat an id
   are sized, cut and repeated each on their own. Sources over their target
-  lose documents, sources under it repeat theirs, at most three times.
+  lose documents, sources under it repeat theirs, at most three times. Rows are dealt by the slot that first reads
+  them and written in its order, so the packed sequences follow the schedule.
 - pack: byte-level ids, windows of 2,048 tokens.
 
 Nulls, empty texts, ties, repeated rows, empty tables and extra columns are as each operator's module states; columns
@@ -63,14 +64,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # equal rows have one digest; they are interchangeable, so the passes of all of them are given to one
     rows = docs.select(*COLUMNS, id_key().alias("key"), F.xxhash64(*every_column(), F.lit(1)).alias("d1"), F.xxhash64(F.lit(2), *every_column()).alias("d2"))
     placed, pieces = mixing.mix_sources(rows, keep=("key", "d1", "d2"))
-    passes = pieces.groupBy("row", "epoch").agg(F.min("begin").alias("begin"), F.sum("taken").alias("taken"))
-    passes = passes.join(placed.select("row", "key", "d1", "d2", "size"), "row").select("key", "d1", "d2", F.struct("begin", "taken", "size").alias("p"))
+    passes = pieces.groupBy("row", "epoch").agg(F.min("begin").alias("begin"), F.sum("taken").alias("taken"), F.min("slot").alias("slot"))
+    passes = passes.join(placed.select("row", "key", "d1", "d2", "size"), "row").select("key", "d1", "d2", F.struct("begin", "taken", "size", "slot").alias("p"))
     rows = rows.dropDuplicates(["key", "d1", "d2"]).join(passes, ["key", "d1", "d2"])
     whole = F.col("p.taken") == F.col("p.size")
     words = F.regexp_extract_all(text_of(), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.array_join(F.slice(words, F.col("p.begin").cast("int") + 1, F.col("p.taken").cast("int")), "")
     text = F.when(whole, F.col("text")).otherwise(cut)
-    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    rows = rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    # every file holds slots from all over the schedule in their order, and so its own mix near the targets
+    slot = F.col("p.slot")
+    return rows.withColumn("slot", slot).repartition("slot").sortWithinPartitions("slot", "doc_id").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
