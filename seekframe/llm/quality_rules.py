@@ -4,18 +4,19 @@ Per text: words, their characters, symbols, lines equal to an earlier line, word
 fails outright with fewer than 50 words or with more than half of its words in repeated windows.
 
 Lines across documents: a line is normalised (words joined by one blank, lower-cased, digits as 0) and hashed to 64
-bits. For each host (the `source` column) distinct documents are counted per line hash. Copies are not independent
-witnesses: documents of a host whose longest line, other than the line counted, is the same count as one, so groups of
-exact or near copies do not make their own content a frequent line. A line is over the limit in a host if it is in more than `MIN_DOCS` documents and in
-more than `MAX_SHARE` of the host's. Such lines are removed, and a document left with under `MIN_LEFT` of its words is
-rejected.
-
-Texts are read once; only hashes are shuffled. Counting pre-aggregates (host, line, longest other line) and then (host, line),
-so neither a large host nor a frequent line loads one task. The table of lines over the limit holds at most
-1 / MAX_SHARE lines a host and word of a document's mean lines; it is broadcast only after its size is checked.
-
-A null text has no words and fails. Null sources are one host. Null ids are kept; repeated rows are judged each. An
-empty table gives an empty result. Other columns are ignored.
+bits. For each host (the `source` column) distinct documents are counted per line hash; documents of a host that have
+the same set of line hashes are one document, so a group of copies does not make its own content a frequent line. A
+line is over the limit in a host if it is in more than `MIN_DOCS` documents and in more than `MAX_SHARE` of the host's.
+Such lines are removed, and a document left with under `MIN_LEFT` of its words is rejected.
+
+Texts are read once; only hashes are shuffled. Documents are pre-aggregated by (host, set of lines) and lines by (host,
+line) before each shuffle, so neither a large host, a group of copies nor a frequent line loads one task. The table of
+lines over the limit holds at most 1 / MAX_SHARE lines a host and line of a document's mean; it is broadcast only after
+its size is checked, and beyond that both sides are dealt over `SALTS` parts of each line.
+
+A null text has no words and fails. A very long text is one row, measured whole. Null sources are one host. Null ids are
+kept; repeated rows are judged each and counted once. There are no ties to break: a limit is passed only from above. An
+empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lookup, prepare, saved, text_of
+from ._common import BROADCAST_ROWS, prepare, saved, text_of
 
 MIN_WORDS, MAX_REPEATED, MIN_DOCS, MAX_SHARE, MIN_LEFT = 50, 0.5, 20, 0.02, 0.4
+#: Parts of a line over the limit, where those lines are too many to broadcast.
+SALTS = 32
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 DIGITS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lines array<struct<h:bigint,n:int>>, longest long, second long"
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lines array<struct<h:bigint,n:int>>, content long"
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -65,7 +68,6 @@ def statistics(text: str) -> tuple:
     words = data.split()  # bytes split at ASCII white space only
     word_chars = len(text) - sum(text.count(c) for c in SPACES)
     n_dup, seen, lines = 0, set(), {}
-    longest = second = (0, b"", 0)
     for line in data.split(b"\n"):
         own = line.split()
         if not own:
@@ -75,19 +77,18 @@ def statistics(text: str) -> tuple:
         seen.add(line)
         norm = b" ".join(own).translate(DIGITS)
         h = xxhash.xxh3_64_intdigest(norm) - 2**63
-        if h not in lines:
-            second, longest = sorted((second, longest, (len(own), norm, h)))[1:]
         lines[h] = lines.get(h, 0) + len(own)
     repeated = repeat_words(words)
     n = len(words)
+    content = xxhash.xxh3_64_intdigest(np.sort(np.fromiter(lines, np.int64, len(lines))).tobytes()) - 2**63
     failed = n < MIN_WORDS or repeated > MAX_REPEATED * n
-    return n, word_chars, sum(text.count(c) for c in SYMBOLS), n_dup, repeated, failed, [{"h": h, "n": k} for h, k in lines.items()], longest[2], second[2]
+    return n, word_chars, sum(text.count(c) for c in SYMBOLS), n_dup, repeated, failed, [{"h": h, "n": k} for h, k in lines.items()], content
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """row, id, host, the statistics, lines: (hash, words) of each distinct line, longest and second: hashes of its longest lines."""
+    """row, id, host, the statistics, lines: (hash, words) of each distinct line, content: hash of their set."""
     prepare(docs.sparkSession)
-    names = [x.split()[0] for x in "row id host".split()] + ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines", "longest", "second"]
+    names = [x.split()[0] for x in "row id host".split()] + ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines", "content"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -98,20 +99,27 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(found: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, h): the lines over the limit in each host."""
-    lines = found.select("host", "longest", "second", F.explode("lines.h").alias("h"))
-    lines = lines.select("host", "h", F.when(F.col("h") == F.col("longest"), F.col("second")).otherwise(F.col("longest")).alias("other")).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs"))
-    hosts = found.filter("n_words > 0").select("host", "longest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    """(host, h, n_docs): the lines over the limit in each host."""
+    distinct = found.filter("n_words > 0").groupBy("host", "content").agg(F.first("lines.h").alias("hs"))
+    distinct = saved(distinct, "distinct")
+    lines = distinct.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs"))
+    hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     over = lines.filter(F.col("n_docs") > min_docs).join(hosts, "host").filter(F.col("n_docs") > max_share * F.col("host_docs"))
     return over.select("host", "h", "n_docs")
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row a document: row, id, the statistics, words_left, kept."""
     found = saved(measured(docs), "measured")
-    over = lookup(saved(frequent_lines(found).select("host", "h"), "frequent"))
-    lost = found.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.h", "x.n").join(over, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("lost"))
-    out = found.drop("lines", "longest", "second").join(lost, "row", "left").withColumn("words_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
+    over = saved(frequent_lines(found).select("host", "h"), "frequent")
+    lines = found.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.h", "x.n")
+    if over.count() <= broadcast_rows:
+        lines = lines.join(F.broadcast(over), ["host", "h"])
+    else:
+        over = over.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        lines = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(over, ["host", "h", "salt"])
+    lost = lines.groupBy("row").agg(F.sum("n").alias("lost"))
+    out = found.drop("lines", "content").join(lost, "row", "left").withColumn("words_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= MIN_LEFT * F.col("n_words"))).drop("lost", "host")
 
 
@@ -130,10 +138,9 @@ ls AS (SELECT r, string_split(t, chr(10)) AS x FROM d),
 l AS (SELECT r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm FROM (SELECT r, unnest(x) AS line FROM ls)),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE n > 0 GROUP BY r),
 dl AS (SELECT r, norm, any_value(n) AS n, sum(n) AS total FROM l WHERE n > 0 GROUP BY r, norm),
-o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY n DESC, encode(norm) DESC) AS k FROM dl),
-top AS (SELECT r, max(norm) FILTER (k = 1) AS a, coalesce(max(norm) FILTER (k = 2), '') AS b FROM o GROUP BY r),
-seen AS (SELECT host, norm, count(DISTINCT CASE WHEN norm = a THEN b ELSE a END) AS n FROM dl JOIN top USING (r) JOIN d USING (r) GROUP BY host, norm),
-hosts AS (SELECT host, count(DISTINCT a) AS n FROM top JOIN d USING (r) GROUP BY host),
+c AS (SELECT DISTINCT host, x FROM (SELECT r, list_sort(list(norm)) AS x FROM dl GROUP BY r) JOIN d USING (r)),
+seen AS (SELECT host, norm, count(*) AS n FROM (SELECT host, unnest(x) AS norm FROM c) GROUP BY host, norm),
+hosts AS (SELECT host, count(*) AS n FROM c GROUP BY host),
 over AS (SELECT host, norm FROM seen JOIN hosts USING (host) WHERE seen.n > 20 AND seen.n > 0.02e0 * hosts.n),
 lost AS (SELECT r, sum(total) AS n FROM dl JOIN d USING (r) SEMI JOIN over ON over.host = d.host AND over.norm = dl.norm GROUP BY r),
 s AS (SELECT r, doc_id, len(x) AS n_words, coalesce(list_sum(list_transform(x, lambda y: length(y))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS lost FROM d JOIN ws USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN lost USING (r)),
