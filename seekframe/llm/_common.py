@@ -60,6 +60,11 @@ def lookup(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= most else small
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value evaluated once: inside a lambda an expression would be evaluated for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
