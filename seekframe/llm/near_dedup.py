@@ -2,40 +2,47 @@
 
 1. A text is its set of distinct word shingles (64-bit hashes), with `TOKENS` minwise tokens. Rows with equal sets are
    one class; only the class's least document goes on, so copies cost one row each and are never paired.
-2. `TREES` independent trees. A tree has its own order of the minwise tokens; level d branches a node's documents by
-   the d-th token. Nodes with more than `TASK` documents are branched by Spark level by level, and what is still larger
-   at the last level is dealt into chunks, so no task holds more than about TASK documents of a node. A pair of
-   similarity s shares a node at level d with chance s**d a tree: 1 - 0.2**TREES for an 0.8 pair at level 1.
+2. `TREES` independent trees. A tree branches all documents by one minwise token, another in each tree. Nodes with more
+   than `TASK` documents are branched on by Spark, level by level, each document into `BRANCHES` children by further
+   tokens: a pair of similarity s that shares a node shares one of its children with chance 1 - (1 - s)**BRANCHES, and
+   with two children the chance of sharing a node at any level does not fall under 0.9375 of the first level's for
+   s = 0.8. TREES is taken from that and the `MISSES` aimed at. What is still larger at the last level is dealt into
+   blocks, and every block is compared with every other.
 3. In each node all documents are compared on 8 bits of each token. Only a spanning forest of the pairs that may be
    alike is emitted, likeliest pairs first, ties in an order of the tree's own: under one pair a document.
 4. Each document's likeliest pair is confirmed on full sets, built anew from the texts of both sides; components are
    found by hooking and pointer jumping, and the forests' other pairs between different components are confirmed next.
-5. Pairs that the forests left out are searched again where confirmed links don't join them: in a node with at most
-   `NODE` / 2 pairs of two components that may be alike a document, every such pair is confirmed. The documents of more
-   crowded nodes that have such pairs, and all of first-level nodes over TASK, are joined exactly: by the rarest shingles of their full sets (`prefix_pairs`). No
-   partner, pair or candidate is capped; what is missed is missed by the trees' chances alone.
-
-A null text and a text without words have the empty set and are linked with nothing. Fewer words than a shingle are one
-shingle. A null id sorts first. Rows that repeat an id, with equal or other texts, are one node of the graph. An empty
-table gives an empty result. Other columns are ignored.
+5. The nodes are searched again for documents that may be like one of another component. These are joined exactly
+   within their family (what the forests' pairs connect, confirmed or not): documents outside the family's largest
+   component meet all of the family, block by block, on full sets, and a spanning forest of the links is emitted.
+   Nothing is capped; what is missed is missed by the trees' chances and by the estimate of step 3 alone.
+
+A null text and a text without words have the empty set and are linked with nothing. A very long text is one set, whole.
+Fewer words than a shingle are one shingle. A null id sorts first. Rows that repeat an id, with equal or other texts,
+are one node of the graph. Ties between equally likely pairs do not change the components. An empty table gives an empty
+result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import id_back, id_key, lookup, prepare, saved, text_of
 
-TOKENS, TREES, DEPTH, NODE, TASK = 64, 12, 8, 48, 4000
-#: Counters of shingles, which only order them, and rows of a block of a long list of the documents of a shingle.
-COUNTERS, BLOCK = 1 << 18, 2000
-#: Share of equal tokens from which a pair may be alike: 0.8 less 4 standard deviations.
-MAYBE = 0.6
+TOKENS, BRANCHES, DEPTH, TASK = 64, 2, 8, 4000
+#: Chance, by the trees, to miss a pair at the threshold of 0.8; 0.9375 is the fixed point of q = 1 - (1 - 0.8 q)**2.
+MISSES = 1e-7
+TREES = math.ceil(math.log(MISSES) / math.log(1 - 0.8 * 0.9375))
+#: Share of equal tokens from which a pair may be alike: 0.8 less 5 standard deviations.
+MAYBE = 0.55
+#: Documents of a family's block, and the length of their texts.
+BLOCK, BLOCK_CHARS = 500, 8_000_000
 PERCENT = 80
 #: Tables of ids are broadcast up to so many rows, after a count; beyond, both sides are shuffled.
 ID_ROWS = 1_000_000
@@ -46,7 +53,8 @@ def _constants(seed: int, n: int) -> np.ndarray:
 
 
 MULTIPLIERS = _constants(11, TOKENS)
-ORDERS = np.array([np.random.default_rng(100 + t).permutation(TOKENS) for t in range(TREES)])
+#: By tree: the token of the first level, then BRANCHES of each further one. No two trees have one first token.
+ORDERS = np.stack([np.roll(np.random.default_rng(100).permutation(TOKENS), -5 * t) for t in range(TREES)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -171,18 +179,14 @@ def forest(keys: np.ndarray, signs: np.ndarray, labels: np.ndarray, tree: int, l
 
 
 def unresolved(keys: np.ndarray, signs: np.ndarray, labels: np.ndarray, tree: int, level: int, out: list) -> None:
-    """The pairs of different labels that may be alike; in a crowded node, each document that has one, paired with itself."""
+    """Each document that may be like one of another label, paired with itself."""
     if len(np.unique(labels)) < 2:
         return
     equal = equal_tokens(signs)
     for a in range(0, len(keys), 256):
         equal[a : a + 256][labels[a : a + 256, None] == labels[None, :]] = 0
-    if np.count_nonzero(equal) <= NODE * len(keys):
-        rows, cols = np.nonzero(np.triu(equal, 1))
-        out.append(np.stack((keys[rows], keys[cols], equal[rows, cols].astype(np.int64))))
-    else:
-        own = keys[equal.any(1)]
-        out.append(np.stack((own, own, np.zeros(len(own), np.int64))))
+    own = keys[equal.any(1)]
+    out.append(np.stack((own, own, np.zeros(len(own), np.int64))))
 
 
 def node_pairs(search):
@@ -216,89 +220,17 @@ def node_pairs(search):
     return run
 
 
-def shingle_counts(texts: DataFrame, k: int) -> np.ndarray:
-    """By the lowest bits of a shingle: how many the texts have of those, in eighths of powers of two."""
+def children(position: int) -> Column:
+    """The bytes of a document's tokens by which its tree branches it, from that position of the order on."""
+    at = F.element_at(F.array(*[F.array(*[F.lit(int(x) + 1) for x in ORDERS[t, position : position + BRANCHES]]) for t in range(TREES)]), F.col("tree") + 1)
+    return F.explode(F.transform(at, lambda x: F.struct(x.alias("at"), F.substring(F.col("signs"), x, F.lit(1)).alias("sign"))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for text in batch["t"]:
-                np.add.at(held, (shingle_set(text, k) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        yield packed(held)
-
-    def packed(held: np.ndarray) -> pd.DataFrame:
-        parts = held.reshape(-1, 4096)
-        some = np.flatnonzero(parts.any(1))
-        return pd.DataFrame({"part": some, "n": [x.tobytes() for x in parts[some]]})
-
-    def added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in rows["n"])
-        return pd.DataFrame({"part": [key[0]], "n": [np.round(8 * np.log2(total + 1)).astype(np.int16).tobytes()]})
-
-    rows = texts.select("t").mapInPandas(run, "part int, n binary").groupBy("part").applyInPandas(added, "part int, n binary")
-    counts = np.zeros((COUNTERS // 4096, 4096), np.int16)
-    for row in rows.collect():
-        counts[row.part] = np.frombuffer(row.n, np.int16)
-    return counts.ravel()
-
-
-def prefixes(k: int, percent: int, counts: np.ndarray):
-    """Rows (key, label, t) -> shingle, key, label, size, rest: the shingles, rarest first, of which an alike set must have one.
-
-    rest: how many shingles of the set are not before this one.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            shingles, sizes, rests, times = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
-            for text in batch["t"]:
-                own = shingle_set(text, k)
-                n = len(own)
-                held = n - -(-percent * n // 100) + 1 if n else 0
-                order = np.lexsort((own, counts[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:held]
-                shingles.append(own[order])
-                sizes.append(np.full(held, n, np.int64))
-                rests.append(n - np.arange(held))
-                times.append(held)
-            key, label = (np.repeat(batch[c].to_numpy(np.int64), times) for c in ("key", "label"))
-            yield pd.DataFrame({"shingle": np.concatenate(shingles).view(np.int64), "key": key, "label": label, "size": np.concatenate(sizes), "rest": np.concatenate(rests)})
-
-    return run
-
-
-def prefix_pairs(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b), a < b: every pair of texts (key, label, t) of different labels that may be alike, by a prefix-filter join.
-
-    Sets of x and y shingles are alike from percent * (x + y) / (100 + percent) common ones on. At the first common one
-    neither set may have less than that left; the smaller set has 2 * percent / (100 + percent) of itself left there.
-    """
-    rows = saved(texts.mapInPandas(prefixes(k, percent, shingle_counts(texts, k)), "shingle long, key long, label long, size long, rest long"), "prefixes")
-    small = (100 + percent) * F.col("rest") >= 2 * percent * F.col("size")
-    lists = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"), F.max(small).alias("small")).groupBy("shingle")
-    lists = lists.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("small").alias("small")).filter("most < n AND small")
-    lists = saved(lists.select("shingle", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("x_blocks"), F.ceil(F.col("n") / BLOCK).cast("int").alias("y_blocks")), "lists")
-    # of two labels one isn't the list's main one: those rows meet all, long lists in blocks, every block every other
-    rows = saved(rows.join(lookup(lists), "shingle"), "postings")
-
-    def side(name: str, other: str) -> DataFrame:
-        own = F.pmod(F.xxhash64("key"), F.col(f"{name}_blocks")).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
-        return rows.select("shingle", "main", own.alias(f"{name}_at"), every.alias(f"{other}_at"), *[F.col(c).alias(f"{name}_{c}") for c in ("key", "label", "size", "rest")])
-
-    both = side("x", "y").filter("x_label <> main").join(side("y", "x").drop("main"), ["shingle", "x_at", "y_at"])
-    both = both.filter("x_label <> y_label AND (y_label = main OR x_key < y_key)")
-    both = both.filter((100 + percent) * F.least("x_rest", "y_rest") >= percent * (F.col("x_size") + F.col("y_size")))
-    return both.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).filter("a <> b").distinct()
-
-
-def tree_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tree, node, level, key, signs): each class representative (key, tokens) in a node of at most about TASK of each tree.
 
-    Then (key): those whose first-level node is larger in some tree, so that it was branched or dealt into chunks.
-    """
+def tree_nodes(classes: DataFrame) -> DataFrame:
+    """(tree, node, level, key, signs): each class representative (key, tokens) in its nodes of each tree, at most about TASK to a node."""
     rows = classes.mapInPandas(first_nodes, "tree int, node long, key long, signs binary").withColumn("level", F.lit(1))
     rows = saved(rows, "nodes")
-    done, level, parted = [], 1, rows.select("key").limit(0)
+    done, level = [], 1
     while True:
         large = saved(rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > TASK), "large")
         if large.isEmpty():
@@ -307,21 +239,20 @@ def tree_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         small = lookup(large)
         done.append(rows.join(small, ["tree", "node"], "left_anti"))
         rows = rows.join(small, ["tree", "node"])
-        if level == 1:
-            parted = rows.select("key").distinct()
         if level == DEPTH:
-            # alike in all tokens so far: chunks in an order of the tree's own
-            chunk = F.pmod(F.xxhash64("tree", "key"), F.ceil(F.col("held") / TASK))
-            done.append(rows.withColumn("node", F.xxhash64("node", chunk)).drop("held"))
+            # alike in many tokens so far: blocks of half a task, in every pair of them
+            n = F.ceil(2 * F.col("held") / TASK).cast("int")
+            own = F.pmod(F.xxhash64("tree", "key"), n).cast("int")
+            rows = rows.withColumns({"own": own, "n": n}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+            done.append(rows.filter("n = 1 OR own <> other").withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).drop("held", "own", "n", "other"))
             break
-        at = F.element_at(F.array(*[F.lit(int(x) + 1) for x in ORDERS[:, level]]), F.col("tree") + 1)
-        rows = rows.withColumn("node", F.xxhash64("node", F.substring(F.col("signs"), at, F.lit(1)))).drop("held")
+        rows = rows.withColumn("c", children(1 + BRANCHES * (level - 1))).withColumn("node", F.xxhash64("node", "c.at", "c.sign")).drop("held", "c")
         level += 1
         rows = saved(rows.withColumn("level", F.lit(level)), "nodes")
-    every = done[0]
+    every = done[0].select("tree", "node", "level", "key", "signs")
     for x in done[1:]:
-        every = every.unionByName(x)
-    return every.select("tree", "node", "level", "key", "signs"), saved(parted, "parted")
+        every = every.unionByName(x.select("tree", "node", "level", "key", "signs"))
+    return every
 
 
 def candidate_pairs(nodes: DataFrame, search) -> DataFrame:
@@ -385,16 +316,93 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         labels = hooks if labels is None else saved(labelled(labels, hooks, "up").unionByName(hooks.join(labels.select("key"), "key", "left_anti")), "labels")
 
 
+def links_between(own: list[np.ndarray], own_keys: np.ndarray, other: list[np.ndarray], other_keys: np.ndarray, up: dict, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two lists of sets. up: labels of the keys, which are joined on the way."""
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    held = np.array([len(x) for x in other])
+    shingles, docs = np.concatenate(other), np.repeat(np.arange(len(other)), held)
+    order = np.argsort(shingles, kind="stable")
+    docs = docs[order]
+    distinct, starts = np.unique(shingles[order], return_index=True)
+    ends = np.append(starts[1:], len(docs))
+    roots = np.array([root(k) for k in other_keys.tolist()])
+    out = []
+    for x, key in zip(own, own_keys.tolist()):
+        if not len(x) or (roots == root(key)).all():
+            continue
+        at = np.minimum(np.searchsorted(distinct, x), len(distinct) - 1)
+        at = at[distinct[at] == x]
+        n = ends[at] - starts[at]
+        places = np.repeat(starts[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(at) else at
+        both = np.bincount(docs[places], minlength=len(other))
+        for y in np.flatnonzero(100 * both >= percent * (len(x) + held - both)).tolist():
+            a, b = root(key), root(int(other_keys[y]))
+            if a != b and both[y]:
+                up[max(a, b)] = min(a, b)
+                roots[roots == max(a, b)] = min(a, b)
+                out.append((key, int(other_keys[y])))
+    return out
+
+
+def family_links(k: int, percent: int):
+    """Rows (family, x, y, side, key, label, t) sorted by family, x, y -> the links (a, b) of side 0's documents with side 1's."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, sides, up = None, ([], []), {}
+
+        def found() -> pd.DataFrame:
+            own, other = ([shingle_set(t, k) for _, t in side] for side in sides)
+            keys = [np.array([x for x, _ in side], np.int64) for side in sides]
+            links = links_between(own, keys[0], other, keys[1], up, percent) if own and other else []
+            return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+        for batch in batches:
+            for family, x, y, side, key, label, text in batch[["family", "x", "y", "side", "key", "label", "t"]].itertuples(index=False, name=None):
+                if task != (family, x, y):
+                    if task is not None:
+                        yield found()
+                    task, sides, up = (family, x, y), ([], []), {}
+                sides[side].append((key, text))
+                up[key] = up.setdefault(label, label) if key != label else label
+        if task is not None:
+            yield found()
+
+    return run
+
+
+def joined_families(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of rows (family, key, label, t) of one family and different labels: a spanning forest of each task's.
+
+    The documents outside of a family's most frequent label meet all of the family, in blocks of at most about BLOCK.
+    """
+    labels = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("chars")).groupBy("family")
+    blocks = lambda n, chars: F.ceil(F.greatest(n / BLOCK, chars / BLOCK_CHARS, F.lit(1))).cast("int")
+    labels = labels.agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max(F.struct("n", "label", "chars")).alias("most"), F.sum("n").alias("n"), F.sum("chars").alias("chars")).filter("most.n < n")
+    labels = saved(labels.select("family", "main", blocks(F.col("n") - F.col("most.n"), F.col("chars") - F.col("most.chars")).alias("xs"), blocks(F.col("n"), F.col("chars")).alias("ys")), "families")
+    rows = rows.join(lookup(labels), "family")
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ("family", "x", "y", "side", "key", "label", "t")
+    one = rows.filter("label <> main").withColumns({"x": own("xs"), "side": F.lit(0)}).withColumn("y", every("ys")).select(*columns)
+    other = rows.withColumns({"y": own("ys"), "side": F.lit(1)}).withColumn("x", every("xs")).select(*columns)
+    return one.unionByName(other).repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "side", "key").mapInPandas(family_links(k, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: key, n_shingles, component (a key)."""
     found = saved(sets(docs, k), "sets")
     members = found.filter("n_shingles > 0")
     classes = saved(members.groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.min_by("tokens", "key").alias("tokens")), "classes")
-    nodes, parted = tree_nodes(classes.select(F.col("rep").alias("key"), "tokens"))
+    nodes = tree_nodes(classes.select(F.col("rep").alias("key"), "tokens"))
     pairs = saved(candidate_pairs(nodes.withColumn("label", F.col("key")), forest), "pairs")
     involved = saved(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), "involved")
-    read = saved(involved.union(parted).distinct(), "read")
-    texts = saved(docs.select(id_key().alias("key"), text_of().alias("t")).join(lookup(read, ID_ROWS), "key", "left_semi"), "texts")
+    texts = saved(docs.select(id_key().alias("key"), text_of().alias("t")).join(lookup(involved, ID_ROWS), "key", "left_semi"), "texts")
     best = saved(pairs.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")), "best")
     links = saved(confirmed(best, texts, k, percent), "confirmed")
     labels = components(links)
@@ -403,14 +411,11 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFram
     labels = components(confirmed(saved(rest, "rest"), texts, k, percent), labels)
     # a document without a pair in any forest has none in any node, as those are now
     marked = saved(labelled(involved.withColumn("label", F.col("key")), labels, "label"), "marked")
-    again = saved(candidate_pairs(nodes.join(lookup(marked, ID_ROWS), "key"), unresolved).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "again")
-    labels = components(confirmed(again.filter("a <> b"), texts, k, percent), labels)
-    # pairs of a node that was parted may meet in none of its parts
-    crowded = saved(again.filter("a = b").select(F.col("a").alias("key")).union(parted).distinct(), "crowded")
-    if not crowded.isEmpty():
-        crowded = saved(labelled(crowded.withColumn("label", F.col("key")), labels, "label"), "crowded")
-        close = prefix_pairs(texts.join(lookup(crowded, ID_ROWS), "key").select("key", "label", "t"), k, percent)
-        labels = components(confirmed(saved(close.join(pairs, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"), "close"), texts, k, percent), labels)
+    again = saved(candidate_pairs(nodes.join(lookup(marked, ID_ROWS), "key"), unresolved).select(F.col("a").alias("key")).distinct(), "again")
+    if not again.isEmpty():
+        families = components(pairs.select("a", "b")).select("key", F.col("up").alias("family"))
+        again = saved(again.join(marked, "key").join(families, "key", "left").withColumn("family", F.coalesce("family", "key")), "unresolved")
+        labels = components(joined_families(texts.join(lookup(again, ID_ROWS), "key"), k, percent), labels)
     ups = labelled(classes.select("c1", "c2", F.col("rep").alias("component")), labels, "component")
     return found.join(ups, ["c1", "c2"], "left").select("key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
 
