@@ -1,40 +1,48 @@
 """Line dedup (10): documents probe a sharded minimal perfect hash instead of joining lines.
 
-1. Each line is reduced to a key (stripped, A-Z lower-cased) and two independent 64-bit hashes.
-2. A grouped aggregation, combined before the shuffle, keeps for each hash pair the smallest document and the number
-   of lines-in-documents; pairs seen in one document only go.
-3. The distinct repeated hashes are dealt to shards of about `SHARD_KEYS` keys. A shard is one minimal perfect hash:
-   a pilot per bucket places every key in a slot of its own, and arrays hold by slot two 64-bit fingerprints,
-   the first document and the count. Shards are one row each (about 34 bytes a key).
-4. The documents' hashes go to their shard, dealt by document over copies of it, so that a frequent line does not load
-   one task: `SALTS` copies, or as many more as give each at most about `PROBES` hashes, by the counts of the shard's own
-   lines. A task reads the shard's arrays first and then probes them, one array read a line, no join.
-
-A null text is one empty line; a null id sorts before all others and is a document of its own. Rows that repeat a
-doc_id count as one document. An empty table gives an empty result. Other columns are ignored.
+1. Each line is reduced to a key (stripped, A-Z lower-cased) and to its hash (64 bits) and fingerprint (32 bits).
+2. A grouped aggregation, combined before the shuffle, gives for each distinct line its first document and its count.
+3. All distinct line hashes are dealt to shards of about `SHARD_KEYS`. A shard is one minimal perfect hash: a pilot per
+   bucket places every key in a slot of its own, and compact arrays hold by slot the fingerprint (32 bits), the count (32
+   bits, saturated) and the first document (64 bits). Shards are one row each, about 17 bytes a line. Lines of equal hash
+   and different fingerprint are kept beside the arrays.
+4. The documents' hashes go to their shard. A shard has one copy, or as many as give each at most about `PROBES` hashes
+   by its lines' counts, and documents are dealt over them, so that a frequent line does not load one task. A task reads
+   the shard's arrays first and then probes them, one array read a line, no join: a line goes if its count is over one
+   and its first document is another.
+
+The count of a line is 1 if it is in one document, else the number of rows that hold it.
+
+A null text is one empty line; a null id sorts before all others and is a document of its own. Rows that repeat a doc_id
+count as one document; each row loses its own lines, and no list is longer than a text's lines. A very long text is one
+row; its lines are dealt like any others. Ties do not occur: the first document is the least id. An empty table gives an
+empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import NULL_ID, ascii_lower, id_back, id_key, lookup, prepare, saved, text_of
 
 BLANK = " \t\n\x0b\f\r"
 #: Keys of a shard, which one task holds; least copies of a shard, among which the documents are dealt; hashes for a copy.
-SHARD_KEYS, SALTS, PROBES = 25_000, 16, 250_000
+SHARD_KEYS, SALTS, PROBES = 100_000, 1, 250_000
 #: Mean keys of a pilot's bucket.
 BUCKET = 4
 
 
-def line_hash(line, seed: int):
-    return F.xxhash64(F.lit(seed), line)
+def line_hash(line):
+    return F.xxhash64(F.lit(1), line)
+
+
+def line_fingerprint(line):
+    return F.hash(F.lit(2), line)
 
 
 def mix64(x: np.ndarray, salt) -> np.ndarray:
@@ -97,53 +105,55 @@ def build_mph(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pilots, slots
 
 
+ARRAYS = {"fingerprints": ("fp", np.int32), "counts": ("n_docs", np.uint32), "firsts": ("first_doc", np.int64)}
+
+
 def shard_rows(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One shard's rows (h1, h2, first_doc, n_docs) as one row of arrays."""
-    rows = rows.sort_values(["h1", "h2"], kind="stable")
-    keys = rows["h1"].to_numpy(np.int64).view(np.uint64)
-    same = np.flatnonzero(keys[1:] == keys[:-1]) + 1  # equal first hashes of different lines: kept beside the arrays
+    """One shard's rows (h, fp, first_doc, n_docs) as one row of arrays."""
+    rows = rows.sort_values(["h", "fp"], kind="stable")
+    keys = rows["h"].to_numpy(np.int64).view(np.uint64)
+    same = np.flatnonzero(keys[1:] == keys[:-1]) + 1  # equal hashes of different lines: kept beside the arrays
     main = np.ones(len(keys), bool)
     main[same] = False
     pilots, slots = build_mph(keys[main])
     out = {"shard": [key[0]], "pilots": [pilots.tobytes()]}
-    for name, column in (("m_h1", "h1"), ("m_h2", "h2"), ("first_doc", "first_doc"), ("n_docs", "n_docs")):
-        values = np.empty(int(main.sum()), np.int64)
-        values[slots] = rows[column].to_numpy(np.int64)[main]
+    for name, (column, kind) in ARRAYS.items():
+        values = np.empty(int(main.sum()), kind)
+        values[slots] = np.minimum(rows[column].to_numpy(np.int64)[main], np.iinfo(kind).max)
         out[name] = [values.tobytes()]
-    out["rest"] = [rows.iloc[same][["h1", "h2", "first_doc", "n_docs"]].to_numpy(np.int64).tobytes()]
+    out["rest"] = [rows.iloc[same][["h", "fp", "first_doc", "n_docs"]].to_numpy(np.int64).tobytes()]
     return pd.DataFrame(out)
 
 
-SHARD_SCHEMA = "shard int, pilots binary, m_h1 binary, m_h2 binary, first_doc binary, n_docs binary, rest binary"
+HELD = ("pilots", *ARRAYS, "rest")
+SHARD_SCHEMA = "shard int, " + ", ".join(f"{x} binary" for x in HELD)
 
 
 def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows by shard and salt, the shard's arrays first, then its probes -> (key, h) of the lines to drop."""
+    """Rows by shard and salt, the shard's arrays first, then its probes -> (key, text, h) of the lines to drop."""
     arrays = None
     for batch in batches:
         held = batch["pilots"].notna().to_numpy()
-        doc, h1, h2 = (batch[c].to_numpy(np.int64) for c in ("key", "h1", "h2"))
-        docs, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        doc, texts, hs, fps = (batch[c].to_numpy(np.int64) for c in ("key", "text", "h", "fp"))
+        gone = np.zeros(len(batch), bool)
         cuts = [*np.flatnonzero(held).tolist(), len(batch)]
         spans = [(0, cuts[0], None), *((a + 1, b, batch.iloc[a]) for a, b in zip(cuts, cuts[1:]))]
         for a, b, row in spans:
             if row is not None:
-                rest = np.frombuffer(row["rest"], np.int64).reshape(-1, 4)
-                arrays = [np.frombuffer(row["pilots"], np.uint32), np.frombuffer(row["m_h1"], np.uint64), np.frombuffer(row["m_h2"], np.int64), np.frombuffer(row["first_doc"], np.int64), {(x, y): z for x, y, z, _ in rest.tolist()}]
+                rest = np.frombuffer(row["rest"], np.int64).reshape(-1, 4).tolist()
+                arrays = [np.frombuffer(row["pilots"], np.uint32), *[np.frombuffer(row[x], kind) for x, (_, kind) in ARRAYS.items()], {(h, fp): (first, n) for h, fp, first, n in rest}]
             if a >= b or arrays is None:
                 continue
-            pilots, h1s, h2s, first, rest = arrays
-            key = h1[a:b].view(np.uint64)
+            pilots, fingerprints, counts, firsts, rest = arrays
+            key = hs[a:b].view(np.uint64)
             bucket = (mix64(key, 1) % np.uint64(len(pilots))).astype(np.int64)
-            slot = (mix64(key, pilots[bucket].astype(np.uint64) + np.uint64(2)) % np.uint64(len(h1s))).astype(np.int64)
-            drop = (h1s[slot] == key) & (h2s[slot] == h2[a:b]) & (first[slot] != doc[a:b])
+            slot = (mix64(key, pilots[bucket].astype(np.uint64) + np.uint64(2)) % np.uint64(len(counts))).astype(np.int64)
+            gone[a:b] = (counts[slot] > 1) & (firsts[slot] != doc[a:b]) & (fingerprints[slot] == fps[a:b])
             if rest:
-                for i, k in enumerate(zip(h1[a:b].tolist(), h2[a:b].tolist())):
-                    if k in rest:
-                        drop[i] = rest[k] != doc[a + i]
-            docs.append(doc[a:b][drop])
-            hashes.append(h1[a:b][drop])
-        yield pd.DataFrame({"key": np.concatenate(docs), "h": np.concatenate(hashes)})
+                for i in np.flatnonzero(fingerprints[slot] != fps[a:b]).tolist():
+                    first, n = rest.get((int(hs[a + i]), int(fps[a + i])), (0, 0))
+                    gone[a + i] = n > 1 and first != doc[a + i]
+        yield pd.DataFrame({"key": doc[gone], "text": texts[gone], "h": hs[gone]})
 
 
 def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,18 +171,16 @@ def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.drop(columns=["line_text", "line_hashes", "line_drops"]).assign(n_lines=n_lines, n_dropped=n_dropped, kept_text=kept)
 
 
-def repeated_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2, first_doc, n_docs) of line hashes in at least two documents."""
-    return (
-        lines.groupBy("h1", "h2").agg(F.min("key").alias("first_doc"), F.max("key").alias("last_doc"), F.count(F.lit(1)).alias("n_docs"))
-        .filter("first_doc <> last_doc").drop("last_doc")
-    )
+def counted_lines(lines: DataFrame) -> DataFrame:
+    """(h, fp, first_doc, n_docs) of every distinct line."""
+    found = lines.groupBy("h", "fp").agg(F.min("key").alias("first_doc"), F.max("key").alias("last_doc"), F.count(F.lit(1)).alias("n"))
+    return found.select("h", "fp", "first_doc", F.when(F.col("first_doc") == F.col("last_doc"), F.lit(1)).otherwise(F.col("n")).cast("long").alias("n_docs"))
 
 
 def copies_of(keyed: DataFrame, n_lines: int, n_shards: int) -> tuple[int, DataFrame | None]:
     """Copies of a usual shard; (shard, salts) of those that need more, if any. keyed: (shard, n_docs) of each key.
 
-    A table of at most n_lines / (SALTS * PROBES) rows. Lines that are no keys fall on all shards alike.
+    A table of at most n_lines / (SALTS * PROBES) rows.
     """
     usual = max(SALTS, -(-n_lines // (n_shards * PROBES)))
     more = keyed.groupBy("shard").agg(F.sum("n_docs").alias("load")).filter(F.col("load") > usual * PROBES)
@@ -180,30 +188,38 @@ def copies_of(keyed: DataFrame, n_lines: int, n_shards: int) -> tuple[int, DataF
     return usual, None if more.isEmpty() else lookup(more)
 
 
+def text_digest() -> Column:
+    """With the id, tells rows apart that repeat it."""
+    return F.xxhash64(F.lit(3), text_of())
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """(key, drops array<long>): for each document the first hashes of the lines that it loses."""
+    """(key, text, line_drops array<long>): for each id and text digest the hashes of the lines that it loses."""
     prepare(docs.sparkSession)
     key_of = lambda x: ascii_lower(F.btrim(x, F.lit(BLANK)))
     keys = F.array_distinct(F.filter(F.transform(F.split(text_of(), "\n", -1), key_of), lambda k: F.length(k) >= min_chars))
-    lines = saved(docs.select(id_key().alias("key"), F.explode(F.transform(keys, lambda k: F.struct(line_hash(k, 1).alias("h1"), line_hash(k, 2).alias("h2")))).alias("x")).select("key", "x.*"), "lines")
-    keyed = saved(repeated_lines(lines), "repeated")
+    hashed = F.transform(keys, lambda k: F.struct(line_hash(k).alias("h"), line_fingerprint(k).alias("fp")))
+    lines = saved(docs.select(id_key().alias("key"), text_digest().alias("text"), F.inline(hashed)), "lines")
+    keyed = saved(counted_lines(lines), "distinct_lines")
     n_shards = max(1, -(-keyed.count() // SHARD_KEYS))
-    shard = F.pmod(F.shiftrightunsigned("h1", 32), F.lit(n_shards)).cast("int")
+    shard = F.pmod(F.shiftrightunsigned("h", 32), F.lit(n_shards)).cast("int")
     shards = saved(keyed.groupBy(shard.alias("shard")).applyInPandas(shard_rows, SHARD_SCHEMA), "shards")
-    usual, hot = copies_of(keyed.select(shard.alias("shard"), "n_docs"), lines.count(), n_shards)
+    # lines of one document weigh nothing in a shard's load but their own probe
+    usual, hot = copies_of(keyed.filter("n_docs > 1").select(shard.alias("shard"), "n_docs"), lines.count(), n_shards)
     salted = lambda rows: rows.withColumn("salts", F.lit(usual)) if hot is None else rows.join(hot, "shard", "left").withColumn("salts", F.coalesce("salts", F.lit(usual)))
-    arrays = salted(shards).select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *[F.lit(0).cast("long").alias(c) for c in ("key", "h1", "h2")], "pilots", "m_h1", "m_h2", "first_doc", "rest")
-    probes = salted(lines.withColumn("shard", shard)).select("shard", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "key", "h1", "h2", *[F.lit(None).cast("binary").alias(c) for c in ("pilots", "m_h1", "m_h2", "first_doc", "rest")])
-    out = arrays.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(probe, "key long, h long")
-    return out.groupBy("key").agg(F.collect_set("h").alias("line_drops"))
+    none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    arrays = salted(shards).select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *[F.lit(0).cast("long").alias(c) for c in ("key", "text", "h")], F.lit(0).alias("fp"), *HELD)
+    probes = salted(lines.withColumn("shard", shard)).select("shard", F.pmod(F.xxhash64("key", "text"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "key", "text", "h", "fp", *none(*HELD))
+    out = arrays.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(probe, "key long, text long, h long")
+    return out.groupBy("key", "text").agg(F.collect_set("h").alias("line_drops"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: doc_id, the columns in `keep`, n_lines, n_dropped, kept_text."""
-    drops = dropped_lines(docs, min_chars).withColumnRenamed("key", "line_key")
-    key_of = lambda x: line_hash(ascii_lower(F.btrim(x, F.lit(BLANK))), 1)
-    rows = docs.select(id_key().alias("line_key"), *[F.col(c).alias(f"keep_{c}") for c in keep], text_of().alias("line_text"))
-    rows = rows.join(drops, "line_key", "left")
+    drops = dropped_lines(docs, min_chars).withColumnsRenamed({"key": "line_key", "text": "line_digest"})
+    key_of = lambda x: line_hash(ascii_lower(F.btrim(x, F.lit(BLANK))))
+    rows = docs.select(id_key().alias("line_key"), text_digest().alias("line_digest"), *[F.col(c).alias(f"keep_{c}") for c in keep], text_of().alias("line_text"))
+    rows = rows.join(drops, ["line_key", "line_digest"], "left").drop("line_digest")
     hashes = F.when(F.size("line_drops") > 0, F.transform(F.split("line_text", "\n", -1), key_of))
     rows = rows.withColumn("line_hashes", hashes)
     kept = [f for f in rows.schema if f.name.startswith("keep_")]
