@@ -1,20 +1,23 @@
 """Quality classifier (9): document evidence with host and path posteriors by hierarchical empirical Bayes.
 
 1. Evidence: a logistic regression over `FEATURES` of the text, fitted to the labelled documents (a share of the
-   ids by hash, of about `SAMPLE_ROWS` rows; a bound on the fit only). Every document gets a log-odds.
+   distinct rows by hash, of about `SAMPLE_ROWS`; a bound on the fit only). Every document gets a log-odds.
 2. Global prior: the mean evidence of all documents. Host level (`source`) and path level (`source`, `lang`): grouped
    aggregation gives each group's number and sum of evidence; its posterior mean is (strength * parent + sum) /
    (strength + n), where the parent of a path is its host's posterior and of a host the global prior. The strength of a
    level is estimated from the groups by the method of moments: groups that differ no more than chance would have them
    are pulled wholly to their parent, and so are groups with few documents.
-3. A document's score is its evidence with the prior odds of its path in place of the global ones. Kept: score >= 0.5.
+3. A document's prior is the posterior of its path without the document itself: its evidence is taken out of path, host
+   and global sums, so that it does not count twice on a sparse path. (The strengths are those of all documents.)
+4. Its score is its evidence with the odds of its prior in place of the global ones. Kept: score >= 0.5, ties included.
 
 Groups are aggregated before the shuffle, so a host with a third of all rows is a few partial rows a task. The group
 tables are broadcast only after a size check.
 
-A null or empty text has the features of an empty text and is judged by them. Null sources or languages are groups of
-their own. Null ids are judged without labels. Repeated rows are judged each. Without labels of both kinds the evidence
-is 0.5 and all documents are kept. An empty table gives an empty result. Other columns are ignored.
+A null or empty text has the features of an empty text and is judged by them; a very long text is one row, measured
+whole. Null sources or languages are groups of their own. Null ids are judged without labels. Repeated rows are judged
+each; in the fit, rows of equal id and content count once. Without labels of both kinds the evidence is 0.5 and all
+documents are kept. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -102,10 +105,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
 
 def train(rows: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray]:
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("y"))
-    labelled = saved(rows.join(known, "id").select("id", "row", "x", "y"), "labelled")
-    # a share of the ids by hash that has about SAMPLE_ROWS of the rows: one filter, no sort
+    labelled = saved(rows.join(known, "id").groupBy("id", "digest").agg(F.first("x").alias("x"), F.first("y").alias("y")), "labelled")
+    # a share of the rows by hash that has about SAMPLE_ROWS of them: one filter, no sort; rows of one id are dealt by content
     share = min(2**30, 2**30 * SAMPLE_ROWS // max(1, labelled.count()))
-    sample = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(2**30)) < share).orderBy("id", "row").select(F.col("x").cast("array<float>").alias("x"), "y").toPandas()
+    sample = labelled.filter(F.pmod(F.xxhash64("id", "digest"), F.lit(2**30)) < share).orderBy("id", "digest").select(F.col("x").cast("array<float>").alias("x"), "y").toPandas()
     return fit(np.array(sample["x"].tolist(), float).reshape(-1, len(FEATURES)), sample["y"].to_numpy(float))
 
 
@@ -132,7 +135,7 @@ def strength(groups: DataFrame) -> float:
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """row, id, digest, evidence, host_posterior, path_posterior, score, kept for every row of docs."""
+    """row, id, digest, evidence, host_posterior, path_posterior, prior, score, kept for every row of docs."""
     rows = saved(featured(docs), "features")
     bias, weights = train(rows, labels)
     return scored(rows, bias, weights)
@@ -149,17 +152,22 @@ def scored(rows: DataFrame, bias: float, weights: np.ndarray) -> DataFrame:
     total = paths.agg(F.sum("n").alias("n"), F.sum("sum").alias("sum")).first()
     prior = float(total["sum"] / total["n"]) if total["n"] else 0.5
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum")).withColumns({"mean": F.col("sum") / F.col("n"), "parent": F.lit(prior)})
-    s = strength(hosts)
-    hosts = saved(hosts.select("host", ((F.lit(s) * prior + F.col("sum")) / (F.lit(s) + F.col("n"))).alias("host_posterior")), "hosts")
+    by_host = strength(hosts)
+    posterior = lambda s, parent, total, n: (F.lit(s) * parent + total) / (F.lit(s) + n)
+    hosts = saved(hosts.select("host", F.col("n").alias("host_n"), F.col("sum").alias("host_sum"), posterior(by_host, F.lit(prior), F.col("sum"), F.col("n")).alias("host_posterior")), "hosts")
     paths = paths.join(hosts, "host").withColumns({"mean": F.col("sum") / F.col("n"), "parent": F.col("host_posterior")})
-    s = strength(paths)
-    paths = saved(paths.select("path", "host_posterior", ((F.lit(s) * F.col("parent") + F.col("sum")) / (F.lit(s) + F.col("n"))).alias("path_posterior")), "posteriors")
-    out = rows.join(lookup(paths), "path").withColumn("score", 1 / (1 + F.exp(-(log_odds(F.col("evidence")) + log_odds(F.col("path_posterior")) - log_odds(F.lit(prior))))))
-    return out.select("row", "id", "digest", "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= 0.5).alias("kept"))
+    by_path = strength(paths)
+    paths = saved(paths.select("path", "n", "sum", "host_n", "host_sum", "host_posterior", posterior(by_path, F.col("parent"), F.col("sum"), F.col("n")).alias("path_posterior")), "posteriors")
+    e, every = F.col("evidence"), F.lit(float(total["n"] or 0))
+    others = F.when(every > 1, (F.lit(float(total["sum"] or 0)) - e) / (every - 1)).otherwise(F.lit(0.5))
+    own = posterior(by_path, posterior(by_host, others, F.col("host_sum") - e, F.col("host_n") - 1), F.col("sum") - e, F.col("n") - 1)
+    out = rows.join(lookup(paths), "path").withColumns({"prior": own, "others": others})
+    out = out.withColumn("score", 1 / (1 + F.exp(-(log_odds(e) + log_odds(F.col("prior")) - log_odds(F.col("others"))))))
+    return out.select("row", "id", "digest", "evidence", "host_posterior", "path_posterior", "prior", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ._common import documents
 
     out = classified(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.select(F.col("id").alias("doc_id"), "evidence", "host_posterior", "path_posterior", "score", "kept")
+    return out.select(F.col("id").alias("doc_id"), "evidence", "host_posterior", "path_posterior", "prior", "score", "kept")
