@@ -36,25 +36,55 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where one machine is all, a new
+    temporary folder takes its place if it is unset; elsewhere that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="seekframe-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+#: Tables written under the shared folder by this process and not yet released.
+WRITTEN: list[str] = []
+
+
+def _files(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), found
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write a table in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    It is deleted by `release`, or when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seekframe/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
+    files, found = _files(spark, path)
+    files.deleteOnExit(found)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that `saved` has written since WRITTEN had that length; results that read them must be written by then."""
+    for path in WRITTEN[since:]:
+        remove(spark, path)
+    del WRITTEN[since:]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, found = _files(spark, path)
+    files.delete(found, True)
+
+
 def lookup(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a written lookup table for broadcast if it has at most `most` rows; else leave the join to Catalyst and AQE."""
     return F.broadcast(small) if small.count() <= most else small

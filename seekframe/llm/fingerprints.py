@@ -11,8 +11,9 @@ The edit of the query takes text from the next document in descending id order.
 whose bounds come from the id column alone; the first document of a range is also sent to the range above it, so each
 text is shuffled once and no task sees more than its range.
 
-A null text is the empty text. A null id sorts before all ids. Repeated rows are kept, side by side in an order given by
-their texts. An empty table gives an empty result. Other columns are ignored.
+A null text is the empty text. A very long text is one row; its hashes are 8 bytes a code point while it is worked on. A
+null id sorts before all ids. Repeated rows and other ties of ids are kept, side by side in an order given by their
+texts. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

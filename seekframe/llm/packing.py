@@ -9,8 +9,10 @@ sum, finds the multiset closest to the rest of the window; it stops at the first
 back through the bitsets. Slack that no multiset fills is filled by cutting the longest piece left. What is under a
 window when the group ends is cut into sequences whose lengths are powers of two, which need no padding either.
 
-A null text is the empty text (just the end id). Null ids are kept. Repeated rows are packed once each. An empty table
-gives no sequences. Other columns are ignored.
+A null text is the empty text (just the end id). A very long text is cut into whole windows as it is encoded; its ids are
+held once. Null ids are kept. Repeated rows are packed once each. Ties between multisets go to longer pieces, and between
+pieces of a length to the one met last. An empty table gives no sequences. Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

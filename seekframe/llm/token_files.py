@@ -6,15 +6,16 @@ Format (three tables in one folder, written by Spark's writer, so any store that
 - `frames`: blocks of at most `BLOCK_BYTES` (or one longer document), in ascending document order. A block has shard,
   block, dict_hash, first_id, last_id, n_tokens; index: for each document (id int64, n_tokens int64, end int64), where
   end is the offset in `data` after its frame; data: the frames. One frame is one document: its ids as little-endian
-  unsigned 16- or 32-bit integers, compressed alone. A short document is read by its block's id range (kept in Parquet
+  unsigned integers of `width` bytes (2, which both public vocabularies fit, or 4), compressed alone. A short document is read by its block's id range (kept in Parquet
   statistics), its index entry and one frame.
 
 The dictionary is trained on serialized ids of `SAMPLE_DOCS` documents (those with the smallest id hash; of each at most
-`SAMPLE_IDS` ids): it only affects size, never content. Texts are encoded where they are read; only compressed frames
+`SAMPLE_IDS` ids, in pieces from its beginning to its end): it only affects size, never content. Texts are encoded where they are read; only compressed frames
 are shuffled, once, by document id.
 
-A null text is the empty text (just the end id). A null id sorts first. Repeated rows are kept side by side. An empty
-table gives empty files. Other columns are ignored.
+A null text is the empty text (just the end id). A very long text is one frame, in a block of its own. A null id sorts
+first. Repeated rows, and other ties of ids, are kept side by side in the order of their frames. An empty table gives
+empty files. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,16 +52,28 @@ def zstd_dictionary(data: bytes):
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
+def spread(ids: np.ndarray, most: int = SAMPLE_IDS, pieces: int = 16) -> np.ndarray:
+    """At most so many of the ids, in pieces that lie evenly over them."""
+    if len(ids) <= most:
+        return ids
+    size = most // pieces
+    return np.concatenate([ids[a : a + size] for a in np.linspace(0, len(ids) - size, pieces).astype(int)])
+
+
 def train_dictionary(docs: DataFrame, kind: str, path: str, end_id: int, width: int) -> bytes:
     import zstandard
 
     ids = [r[0] for r in docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
     if not ids:
         return b""
-    encode = with_end(kind, path, end_id)
-    # ids are few per character, so a text cut at this length has all ids that count
-    texts = docs.filter(F.col("doc_id").isin(ids)).select("doc_id", F.substring(text_of(), 1, 16 * SAMPLE_IDS).alias("t")).orderBy("doc_id", "t").limit(SAMPLE_DOCS).collect()
-    samples = [serialized(encode(r["t"])[:SAMPLE_IDS], width) for r in texts]
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = with_end(kind, path, end_id)
+        for batch in batches:
+            yield pd.DataFrame({"key": batch["key"], "data": [serialized(spread(encode(t)), width) for t in batch["t"]]})
+
+    texts = docs.filter(F.col("doc_id").isin(ids)).select(F.col("doc_id").cast("long").alias("key"), text_of().alias("t"))
+    samples = [bytes(r["data"]) for r in texts.mapInPandas(pieces, "key long, data binary").orderBy("key", "data").limit(SAMPLE_DOCS).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little to learn from
