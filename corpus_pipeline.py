@@ -3,7 +3,8 @@
 quality classifier -> line dedup -> MinHash near-dedup -> mixing sources to target weights -> packing
 
 A stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as Parquet and read again
-before the next. All but the last return the columns of `documents`:
+before the next; then its own input and intermediate tables are deleted. All but the last return the columns of
+`documents`:
 
 - quality: documents scored under 0.5 go, row by row: another text under the same id stays.
 - lines: lines of at least 10 characters that an earlier document has go; documents of which no word is left go too.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekframe.llm import line_dedup, mixing, near_dedup, packing, quality_classifier
-from seekframe.llm._common import WORD, documents, id_key, prepare, shared_dir, text_of
+from seekframe.llm._common import WORD, WRITTEN, documents, id_key, prepare, release, remove, shared_dir, text_of
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE_WORDS = 5
@@ -86,10 +87,16 @@ STAGES = [("quality_classifier", quality), ("line_dedup", lines), ("near_dedup",
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    path = f"{shared_dir(prepare(spark))}/seekframe/pipeline-{uuid.uuid4().hex}"
+    path, last = f"{shared_dir(prepare(spark))}/seekframe/pipeline-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES):
+        since = len(WRITTEN)
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{path}/{i}-{name}")
             docs = spark.read.schema(docs.schema).parquet(f"{path}/{i}-{name}")
+            # what the stage has read and written on its way is no longer needed
+            release(spark, since)
+            if last:
+                remove(spark, last)
+            last = f"{path}/{i}-{name}"
     return docs
