@@ -18,7 +18,8 @@ HAN = "㐀-䶿一-鿿豈-﫿"
 #: Runs: Han; ASCII letters; digits, with inner points and commas.
 RUNS = rf"[{HAN}]+|[a-z]+|[0-9]+(?:[.,][0-9]+)*"
 LATIN_RUNS = r"[a-z]+|[0-9]+(?:[.,][0-9]+)*"
-STOPWORDS = ("的", "了", "在", "是", "和", "与", "及", "或", "也", "就", "都", "而", "着")
+#: Particles that are left out on request.
+STOPWORDS = ("的", "了", "着", "过", "吗", "呢", "吧", "啊", "呀", "哦", "嗯", "啦", "么")
 
 
 def _folding() -> tuple[str, str]:
@@ -131,38 +132,69 @@ class Lexicon:
 TOKEN = "array<struct<term:string,start:int,`end`:int,position:int>>"
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value evaluated once: inside a lambda an expression would be evaluated for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def running_sums(values: Column) -> Column:
+    """An array of ints as its running sums, by adding what is 1, 2, 4, ... before."""
+
+    def step(held: Column, reach: Column) -> Column:
+        return F.transform(held, lambda x, i: F.when(i >= reach, x + F.get(held, i - reach)).otherwise(x))
+
+    return F.aggregate(F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda k: k < F.size(values)), values, step)
+
+
 def latin_tokens(text: Column) -> Column:
     """array of (term, start, end, position) of a text without Han, in built-in functions."""
-    terms, gaps = latin_terms(text), F.split(fold(text), LATIN_RUNS, -1)
-    none = F.array().cast(TOKEN)
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["term"])
-        token = F.struct(x["term"].alias("term"), start.alias("start"), end.alias("end"), F.size(state["found"]).alias("position"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(token)).alias("found"))
+    def of(x: Column) -> Column:
+        lengths = F.zip_with(F.slice(x["gaps"], 1, F.size(x["terms"])), x["terms"], lambda gap, term: F.length(gap) + F.length(term))
+        return let(F.struct(x["terms"].alias("terms"), let(lengths, running_sums).alias("ends")), token)
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(terms)), terms, lambda gap, term: F.struct(gap.alias("gap"), term.alias("term")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
+    def token(x: Column) -> Column:
+        return F.transform(x["terms"], lambda t, i: F.struct(t.alias("term"), (F.get(x["ends"], i) - F.length(t)).alias("start"), F.get(x["ends"], i).alias("end"), i.alias("position")))
 
+    return let(F.struct(latin_terms(text).alias("terms"), F.split(fold(text), LATIN_RUNS, -1).alias("gaps")), of).cast(TOKEN)
 
-def tokens(rows: DataFrame, text: str, keys: list[str], lexicon: Lexicon | None = None, stopwords: bool = False) -> DataFrame:
-    """(keys..., term, position): the tokens of each row. Rows with Han are cut by the lexicon in Arrow batches, all
-    others are split by the JVM. Without a lexicon no row is sent to Python and Han characters are boundaries."""
-    latin = rows.select(*keys, F.posexplode(latin_terms(F.col(text))).alias("position", "term"))
+
+def term_arrays(rows: DataFrame, text: str, keys: list[str], lexicon: Lexicon | None = None, stopwords: bool = False) -> DataFrame:
+    """(keys..., terms): the terms of each row in order. Rows with Han are cut by the lexicon in Arrow batches, all others
+    are split by the JVM. Without a lexicon no row is sent to Python and Han characters are boundaries."""
+    native = lambda df: df.select(*keys, latin_terms(F.col(text)).alias("terms"))
     if lexicon is None:
-        return latin.select(*keys, "term", "position")
+        return native(rows)
     mixed = F.coalesce(F.col(text), F.lit("")).rlike(f"[{HAN}]")
-    latin = rows.filter(~mixed).select(*keys, F.posexplode(latin_terms(F.col(text))).alias("position", "term")).select(*keys, "term", "position")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(*key, t["term"], t["position"]) for key, value in zip(batch[keys].itertuples(index=False), batch[text]) for t in lexicon.analyze(value, stopwords)]
-            yield pd.DataFrame(found, columns=[*keys, "term", "position"])
+            yield batch[keys].assign(terms=[[t["term"] for t in lexicon.analyze(value, stopwords)] for value in batch[text]])
 
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    han = rows.filter(mixed).select(*keys, text).mapInPandas(cut, f"{kinds}, term string, position int")
-    return latin.unionByName(han)
+    return native(rows.filter(~mixed)).unionByName(rows.filter(mixed).select(*keys, text).mapInPandas(cut, f"{kinds}, terms array<string>"))
+
+
+def tokens(rows: DataFrame, text: str, keys: list[str], lexicon: Lexicon | None = None, stopwords: bool = False) -> DataFrame:
+    """(keys..., term, position): the tokens of each row."""
+    return term_arrays(rows, text, keys, lexicon, stopwords).select(*keys, F.posexplode("terms").alias("position", "term")).select(*keys, "term", "position")
+
+
+def places_by_term(terms: Column) -> Column:
+    """array of (term, positions) of an array of terms: sorted once, cut where the term changes."""
+
+    def starts(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
+        return let(F.struct(s.alias("s"), first.alias("first")), cut)
+
+    def cut(x: Column) -> Column:
+        def one(a: Column, j: Column) -> Column:
+            n = F.coalesce(F.get(x["first"], j + 1), F.size(x["s"])) - a
+            return F.struct(F.get(x["s"], a)["term"].alias("term"), F.slice(x["s"], a + 1, n)["position"].alias("positions"))
+
+        return F.transform(x["first"], one)
+
+    return let(F.array_sort(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("position")))), starts)
 
 
 def query_terms(query: str, lexicon: Lexicon | None = None) -> list[str]:

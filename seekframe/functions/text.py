@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .analysis import Lexicon
+from .analysis import Lexicon, let
 
 
 def split_tags(tags: Column) -> Column:
@@ -32,13 +32,16 @@ def snippet_start(terms: Column, wanted: list[str], width: int = 24, lead: int =
     Null without a hit. One sorted array of hits, no explode."""
     places = F.filter(F.transform(terms, lambda t, i: F.when(t.isin(wanted), i)), lambda i: i.isNotNull())
 
-    def window(p: Column, i: Column) -> Column:
-        s = F.greatest(p - lead, F.lit(0))
-        # places differ, so a window's hits are among the few before and after this one
-        near = F.slice(places, F.greatest(i - lead, F.lit(0)) + 1, F.lit(lead + width))
-        return F.struct((-F.size(F.filter(near, lambda x: (x >= s) & (x < s + width)))).alias("n"), s.alias("s"))
+    def best(places: Column) -> Column:
+        def window(p: Column, i: Column) -> Column:
+            s = F.greatest(p - lead, F.lit(0))
+            # places differ, so a window's hits are among the few before and after this one
+            near = F.slice(places, F.greatest(i - lead, F.lit(0)) + 1, F.lit(lead + width))
+            return F.struct((-F.size(F.filter(near, lambda x: (x >= s) & (x < s + width)))).alias("n"), s.alias("s"))
 
-    return F.array_min(F.transform(places, window))["s"]
+        return F.array_min(F.transform(places, window))["s"]
+
+    return let(places, best)
 
 
 def escaped(s: str) -> str:

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-DROPPED = r"(?is)<(script|style|noscript|svg|template)\b?[^>]*>.*?</\1>"
+from .analysis import let
+
+DROPPED = r"(?is)<(script|style|noscript|svg|template)\b[^>]*>.*?</\1>"
 COMMENTS = r"(?s)<!--.*?-->"
 LINKS = r"(?is)<a[^>]*href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
 BLOCKS = r"(?i)</?(?:p|div|li|ul|ol|br|hr|h[1-6]|tr|td|table|article|section|header|footer|blockquote|pre|dd|dt|main|figure)[^>]*>"
@@ -138,25 +140,63 @@ def url_fingerprint(url: str) -> int:
     return h
 
 
+def _number(part: Column) -> Column:
+    """A part of an address in decimal, 0x hexadecimal or 0 octal notation; null if it is none or too large to tell."""
+    hexa = F.when(F.length(part) <= 12, F.conv(F.concat(F.lit("0"), F.substring(part, 3, 12)), 16, 10))
+    octal = F.when(F.length(part) <= 16, F.conv(part, 8, 10))
+    plain = F.when(F.length(part) <= 12, part)
+    return F.when(part.rlike("^0x[0-9a-f]*$"), hexa).when(part.rlike("^0[0-7]+$"), octal).when(part.rlike("^[0-9]+$"), plain).try_cast("long")
+
+
+def ipv4_number(host: Column) -> Column:
+    """The 32-bit address of a host in any of the notations that resolvers take (1 to 4 parts, the last of which fills
+    what is left); -1 for numeric hosts that are no address; null for names."""
+    parts = F.split(host, r"\.")
+    n = F.size(parts)
+    numeric = host.rlike(r"^(0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]+))*$")
+    last = _number(F.element_at(parts, -1))
+    value, good = last, (n <= 4) & (last >= 0)
+    for i in range(3):
+        own = _number(F.get(parts, F.lit(i)))
+        value = value + F.when(n > i + 1, F.shiftleft(own, 24 - 8 * i)).otherwise(F.lit(0))
+        good = good & ((n <= i + 1) | own.between(0, 255))
+    room = F.when(n == 1, 2**32).when(n == 2, 2**24).when(n == 3, 2**16).otherwise(2**8)
+    return F.when(numeric, F.when(F.coalesce(good & (last < room), F.lit(False)), value).otherwise(F.lit(-1)))
+
+
+def ipv4_in_ipv6(host: Column) -> Column:
+    """The IPv4 address that a bracketed IPv6 host maps, embeds or translates to, else null."""
+    mapped = r"^\[(?:(?:0*:)*:?(?:ffff:(?:0+:)?)?|64:ff9b::)"
+    dotted = F.regexp_extract(host, mapped + r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\]$", 1)
+    pair = mapped + r"([0-9a-f]{1,4}):([0-9a-f]{1,4})\]$"
+    six = r"^\[2002:([0-9a-f]{1,4}):([0-9a-f]{1,4})[:\]]"
+    joined = lambda rx: F.shiftleft(F.conv(F.regexp_extract(host, rx, 1), 16, 10).cast("long"), 16) + F.conv(F.regexp_extract(host, rx, 2), 16, 10).cast("long")
+    return F.when(dotted != "", ipv4_number(dotted)).when(host.rlike(pair), joined(pair)).when(host.rlike(six), joined(six))
+
+
 def target_reason(url: Column) -> Column:
-    """Why a url may not be fetched, judged by its literal text (names are resolved by the fetcher); null if it may."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/@?#]*@)?(\[[^\]]*\]|[^:/?#]*)", 1))
-    four = host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
-    part = lambda i: F.coalesce(F.split_part(host, F.lit("."), F.lit(i)).try_cast("int"), F.lit(-1))
-    a, b = part(1), part(2)
-    return (
-        F.when(url.isNull() | url.rlike(r"\s"), "malformed url")
-        .when(~F.lower(url).rlike("^https?:"), "only http(s) targets are crawled")
-        .when(host == "", "url has no host")
-        .when((host == "localhost") | host.endswith(".localhost") | (four & (a == 127)) | (host == "[::1]"), "loopback target")
-        .when(four & (host == "0.0.0.0") | (host == "[::]"), "unspecified address")
-        .when(four & (a == 169) & (b == 254) | host.rlike(r"^\[fe[89ab]"), "link-local target")
-        .when(four & ((a == 10) | (a == 172) & b.between(16, 31) | (a == 192) & (b == 168)) | host.rlike(r"^\[fe[cdef]"), "private network target")
-        .when(four & a.between(224, 239) | host.rlike(r"^\[ff"), "multicast target")
-        .when(host.rlike(r"^\[f[cd]"), "unique local address")
-        .when(four & (a == 100) & b.between(64, 127), "carrier-grade NAT range")
-        .when(four & (a == 0), "0.0.0.0/8")
-    )
+    """Why a url may not be fetched, judged by its literal text in all notations of an address; null if it may. Names are
+    judged again by what they resolve to where they are fetched (`sources.fetch`)."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/?#]*@)?(\[[^\]]*\]|[^:/?#@]*)", 1))
+
+    def judged(x: Column) -> Column:
+        host, v4, a, b = x["host"], x["v4"], F.shiftright(x["v4"], 24), F.shiftright(x["v4"], 16).bitwiseAND(F.lit(255))
+        return (
+            F.when(host == "", "url has no host")
+            .when(v4 == -1, "malformed url")
+            .when((host == "localhost") | host.endswith(".localhost") | (a == 127) | host.rlike(r"^\[(0*:)*:?0*1\]$"), "loopback target")
+            .when((v4 == 0) | host.rlike(r"^\[[0:]+\]$"), "unspecified address")
+            .when((a == 169) & (b == 254) | host.rlike(r"^\[fe[89ab]"), "link-local target")
+            .when((a == 10) | (a == 172) & b.between(16, 31) | (a == 192) & (b == 168) | host.rlike(r"^\[fe[cdef]"), "private network target")
+            .when(a.between(224, 239) | host.rlike(r"^\[ff"), "multicast target")
+            .when(host.rlike(r"^\[f[cd]"), "unique local address")
+            .when((a == 100) & b.between(64, 127), "carrier-grade NAT range")
+            .when(a == 0, "0.0.0.0/8")
+            .when(a >= 240, "reserved address")
+        )
+
+    found = let(F.regexp_replace(host, r"\.$", ""), lambda h: F.struct(h.alias("host"), F.coalesce(ipv4_number(h), ipv4_in_ipv6(h)).alias("v4")))
+    return F.when(url.isNull() | url.rlike(r"[\s\\]"), "malformed url").when(~F.lower(url).rlike("^https?:"), "only http(s) targets are crawled").otherwise(let(found, judged))
 
 
 def robots_rules(files: DataFrame, agent: str) -> DataFrame:
@@ -179,6 +219,20 @@ def robots_rules(files: DataFrame, agent: str) -> DataFrame:
     return files.select("host", F.posexplode(rules).alias("rule_no", "r")).select("host", "rule_no", "r.allow", "r.path")
 
 
+def crawl_delays(files: DataFrame, agent: str) -> DataFrame:
+    """(host, delay): the last Crawl-delay in seconds of files (host, robots_txt) that holds for an agent, 0 without one."""
+    own = agent.lower()
+
+    def step(s: Column, raw: Column) -> Column:
+        key, value = F.lower(F.trim(F.regexp_extract(raw, "^([^:#]*):", 1))), F.trim(F.regexp_replace(raw, "^[^:]*:", ""))
+        meant = (F.lower(value) == "*") | F.lit(own).startswith(F.lower(value)) | F.lower(value).startswith(own)
+        told = F.when(s["on"] & (key == "crawl-delay"), value.try_cast("double"))
+        return F.struct(F.when(key == "user-agent", meant).otherwise(s["on"]).alias("on"), F.coalesce(told, s["delay"]).alias("delay"))
+
+    zero = F.struct(F.lit(False).alias("on"), F.lit(0.0).alias("delay"))
+    return files.select("host", F.aggregate(F.split(F.coalesce("robots_txt", F.lit("")), r"\R"), zero, step, lambda s: F.greatest(s["delay"], F.lit(0.0))).alias("delay"))
+
+
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, allowed) of urls (url): of the rules of its host that match by prefix or wildcard the longest, then the first."""
     host = F.concat(F.expr("try_parse_url(url, 'HOST')"), F.coalesce(F.regexp_extract("url", r"^[a-zA-Z]+://[^/:?#]*(:[0-9]+)", 1), F.lit("")))

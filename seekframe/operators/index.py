@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.analysis import Lexicon, tokens
+from ..functions.analysis import Lexicon, places_by_term, term_arrays
 
 FIELDS = ("title", "body", "tags")
 
@@ -28,21 +28,22 @@ def by_field(docs: DataFrame, fields=FIELDS) -> DataFrame:
 
 
 def postings(rows: DataFrame, lexicon: Lexicon | None = None, terms: list[str] | None = None, stopwords: bool = False) -> DataFrame:
-    """(field, term, doc_id, tf, positions) of rows (doc_id, field, text); with terms, only theirs."""
-    found = tokens(rows, "text", ["doc_id", "field"], lexicon, stopwords)
+    """(field, term, doc_id, tf, positions) of rows (doc_id, field, text); with terms, only theirs.
+
+    A field's tokens are all in one row, so its postings are made there: nothing is shuffled.
+    """
+    found = term_arrays(rows, "text", ["doc_id", "field"], lexicon, stopwords)
+    if terms is not None:
+        found = found.filter(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in terms]).cast("array<string>")))
+    found = found.select("field", "doc_id", F.inline(places_by_term(F.col("terms"))))
     if terms is not None:
         found = found.filter(F.col("term").isin(terms))
-    return found.groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    return found.select("field", "term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions")
 
 
 def lengths(rows: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """(field, doc_id, len): tokens of each field; empty fields have length 0."""
-    if lexicon is None:
-        from ..functions.analysis import latin_terms
-
-        return rows.select("field", "doc_id", F.size(latin_terms(F.col("text"))).cast("long").alias("len"))
-    counted = tokens(rows, "text", ["doc_id", "field"], lexicon).groupBy("field", "doc_id").agg(F.count(F.lit(1)).alias("len"))
-    return rows.select("field", "doc_id").join(counted, ["field", "doc_id"], "left").select("field", "doc_id", F.coalesce("len", F.lit(0)).alias("len"))
+    return term_arrays(rows, "text", ["doc_id", "field"], lexicon).select("field", "doc_id", F.greatest(F.size("terms"), F.lit(0)).cast("long").alias("len"))
 
 
 def field_stats(lens: DataFrame) -> DataFrame:

@@ -78,6 +78,11 @@ def all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
+def whole_texts(spark, sf_dir) -> DataFrame:
+    """Postings of the texts as one field."""
+    return ix.postings(table(spark, sf_dir, "documents").select("doc_id", F.lit("body").alias("field"), F.coalesce("text", F.lit("")).alias("text")))
+
+
 def index_of(rows: DataFrame, terms=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     lens = ix.lengths(rows)
     return ix.postings(rows, terms=terms), lens, ix.field_stats(lens)
@@ -98,8 +103,7 @@ def tokens_by_doc(spark, sf_dir):
 
 @query(ONE + " SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY term")
 def term_stats(spark, sf_dir):
-    per_doc = all_terms(spark, sf_dir).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    return whole_texts(spark, sf_dir).groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
 @query(MANY + " SELECT field, doc_id, len FROM lens")
@@ -137,7 +141,7 @@ def field_frequencies(spark, sf_dir):
 @query(ONE + ", n AS (SELECT count(*) AS n FROM documents), s AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term) SELECT term, df, round(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)), 6) AS idf FROM s, n")
 def idf_table(spark, sf_dir):
     n = table(spark, sf_dir, "documents").count()
-    df = all_terms(spark, sf_dir).select("doc_id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = term_sets(spark, sf_dir).select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.select("term", "df", r6(bm25.idf(F.lit(n), F.col("df"))).alias("idf"))
 
 
@@ -243,7 +247,7 @@ def thesaurus_topk(spark, sf_dir):
 
 @query(ONE + EXPANDED + " SELECT term, weight FROM e WHERE weight > 0")
 def query_expansion(spark, sf_dir):
-    return thesaurus.expansion(thesaurus.related_terms(thesaurus.related_pairs(term_sets(spark, sf_dir))), SEEDS)
+    return thesaurus.expansion(thesaurus.related_terms(thesaurus.related_pairs(term_sets(spark, sf_dir), only=SEEDS)), SEEDS)
 
 
 def _semantic(spark, sf_dir) -> DataFrame:
@@ -308,7 +312,7 @@ def vector_centered(spark, sf_dir):
 @query(ONE + """, n AS (SELECT count(*) AS n FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT doc_id, 0::BIGINT AS i, round(sum((1 + ln(tf)) * (ln(n / df) + 1) * length(term)), 4) AS value FROM tf JOIN df USING (term), n GROUP BY doc_id""")
 def pooled_vector(spark, sf_dir):
-    tf = all_terms(spark, sf_dir).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = whole_texts(spark, sf_dir).select("doc_id", "term", "tf")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     words = df.select("term", F.array(F.length("term").cast("double")).alias("vector"))
     n = table(spark, sf_dir, "documents").count()
@@ -563,12 +567,13 @@ def han_cut(spark, sf_dir):
 # ---------------------------------------------------------------------- sources and sinks
 
 
-@query(f"WITH {DOCS} SELECT count(*) AS n_docs, md5(string_agg(md5(doc_id::VARCHAR || chr(0) || title || chr(0) || body), '' ORDER BY doc_id)) AS checksum FROM f")
+_hex = lambda i: f"sum(('0x' || substr(h, {i}, 8))::BIGINT)::BIGINT"
+
+
+@query(f"WITH {DOCS}, h AS (SELECT md5(doc_id::VARCHAR || chr(0) || title || chr(0) || body) AS h FROM f) SELECT count(*) AS n_docs, {_hex(1)} AS sum_1, {_hex(9)} AS sum_2, {_hex(17)} AS sum_3, {_hex(25)} AS sum_4 FROM h")
 def corpus_fingerprint(spark, sf_dir):
-    row = F.md5(F.concat_ws("\x00", F.col("doc_id").cast("string"), "title", "body").cast("binary"))
-    rows = ix.fielded(table(spark, sf_dir, "documents")).select("doc_id", row.alias("h"))
-    ordered = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.array_sort(F.collect_list(F.struct("doc_id", "h"))).alias("x"))
-    return ordered.select("n_docs", F.md5(F.array_join(F.transform("x", lambda x: x["h"]), "").cast("binary")).alias("checksum"))
+    docs = ix.fielded(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("ext_id"), "title", "body")
+    return jsonl.fingerprint(docs).select("n_docs", *[f"sum_{i}" for i in range(1, 5)])
 
 
 @query(f"WITH {DOCS} SELECT doc_id::VARCHAR AS ext_id, length(title) AS title_chars, md5(body) AS body_md5, tags FROM f WHERE trim(title) <> '' OR trim(body) <> ''")

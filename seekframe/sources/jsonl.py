@@ -59,6 +59,9 @@ def to_json_lines(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """One row (n_docs, checksum): an order-free checksum of id, title and body, combined before the shuffle."""
-    row = F.crc32(F.encode(F.concat_ws("\x00", "ext_id", "title", "body"), "UTF-8"))
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(row), F.lit(0)).alias("checksum"))
+    """One row (n_docs, sum_1 ... sum_4, checksum): an order-free checksum of id, title and body: the sums of the four 32-bit
+    parts of each document's md5, combined before the shuffle."""
+    h = F.md5(F.encode(F.concat_ws("\x00", "ext_id", "title", "body"), "UTF-8"))
+    parts = [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("long").alias(f"p{i + 1}") for i in range(4)]
+    sums = docs.select(*parts).agg(F.count(F.lit(1)).alias("n_docs"), *[F.coalesce(F.sum(f"p{i}"), F.lit(0)).alias(f"sum_{i}") for i in range(1, 5)])
+    return sums.withColumn("checksum", F.xxhash64(*[f"sum_{i}" for i in range(1, 5)]))
