@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.analysis import Lexicon, places_by_term, term_arrays
+from ..functions.analysis import Lexicon, places_by_term, term_arrays, tokens
 
 FIELDS = ("title", "body", "tags")
 
@@ -32,12 +32,11 @@ def postings(rows: DataFrame, lexicon: Lexicon | None = None, terms: list[str] |
 
     A field's tokens are all in one row, so its postings are made there: nothing is shuffled.
     """
+    if terms is not None:  # few rows are left after the filter; those are grouped
+        found = tokens(rows, "text", ["doc_id", "field"], lexicon, stopwords).filter(F.col("term").isin(terms))
+        return found.groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
     found = term_arrays(rows, "text", ["doc_id", "field"], lexicon, stopwords)
-    if terms is not None:
-        found = found.filter(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in terms]).cast("array<string>")))
     found = found.select("field", "doc_id", F.inline(places_by_term(F.col("terms"))))
-    if terms is not None:
-        found = found.filter(F.col("term").isin(terms))
     return found.select("field", "term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions")
 
 

@@ -58,7 +58,7 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 5
     if out is None:
         return vectors.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return out.withColumn("rank", F.row_number().over(place) - 1).filter(F.col("rank") < k)
+    return out.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k).withColumn("rank", F.col("place") - 1).drop("place")
 
 
 def center(vectors: DataFrame) -> DataFrame:

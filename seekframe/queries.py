@@ -38,8 +38,20 @@ def query(sql: str | None = None):
     return add
 
 
+#: Texts of fewer bytes for each core come in so few splits that they are dealt over all cores first.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table of texts dealt by key if it is small; a large one has splits enough, and its texts stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * SMALL
+    return df.repartition(cores, key) if small else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, {"documents": "doc_id", "pages": "page_id"}[name]) if name in ("documents", "pages") else df
 
 
 def r6(c) -> F.Column:
@@ -103,7 +115,8 @@ def tokens_by_doc(spark, sf_dir):
 
 @query(ONE + " SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY term")
 def term_stats(spark, sf_dir):
-    return whole_texts(spark, sf_dir).groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+    per_doc = all_terms(spark, sf_dir).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
 @query(MANY + " SELECT field, doc_id, len FROM lens")
