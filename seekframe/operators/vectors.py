@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,14 +101,15 @@ def nearest_words(word_vectors: DataFrame, term: str, k: int) -> DataFrame:
 
 
 class GraphIndex:
-    """Approximate neighbours by navigable small-world graphs, one a shard.
+    """Approximate neighbours by layered navigable small-world graphs, one a shard.
 
-    Vectors are dealt to shards by id hash; each shard builds its own layered graph in one task (bounded by the shard's
-    size) and is written as rows (shard, ids, vectors, layers, entry). A query walks every shard's graph by best-first
-    search and the shards' lists are merged, so recall follows the shards' own recall.
+    Vectors are dealt to shards by id hash; each shard builds its own graphs in one task (bounded by the shard's size): all
+    of its rows in the lowest layer, and of each layer about one in `m` in the next. They are kept as rows (shard, ids,
+    vectors, size, links, upper, entry), persisted or, by `save`, written, so searches don't build them again. A query
+    descends the layers of every shard and ends with a best-first search of the lowest; the shards' lists are merged.
     """
 
-    SCHEMA = "shard int, ids binary, vectors binary, size int, links binary, entry int"
+    SCHEMA = "shard int, ids binary, vectors binary, size int, links binary, upper array<struct<rows:binary,links:binary>>, entry int"
 
     def __init__(self, table: DataFrame, dimension: int) -> None:
         self.table, self.dimension = table, dimension
@@ -120,10 +122,22 @@ class GraphIndex:
             rows = rows.sort_values("doc_id")
             x = np.stack(rows["embedding"].to_numpy()).astype(np.float32)
             links, entry = _build_graph(x, m, ef, seed)
-            return pd.DataFrame({"shard": [key[0]], "ids": [rows["doc_id"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "size": [len(x)], "links": [links.tobytes()], "entry": [entry]})
+            levels, upper = np.floor(-np.log(1 - np.random.default_rng(seed).random(len(x))) / np.log(m)).astype(int), []
+            for level in range(1, levels.max() + 1):
+                own = np.flatnonzero(levels >= level).astype(np.int32)
+                above, at = _build_graph(x[own], m, ef, seed + level)
+                upper.append({"rows": own.tobytes(), "links": above.tobytes()})
+                entry = int(own[at])
+            return pd.DataFrame({"shard": [key[0]], "ids": [rows["doc_id"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "size": [len(x)], "links": [links.tobytes()], "upper": [upper], "entry": [entry]})
 
         shard = F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int")
-        return GraphIndex(vectors.groupBy(shard.alias("shard")).applyInPandas(graph, GraphIndex.SCHEMA), dimension)
+        return GraphIndex(vectors.groupBy(shard.alias("shard")).applyInPandas(graph, GraphIndex.SCHEMA).persist(StorageLevel.MEMORY_AND_DISK), dimension)
+
+    def save(self, path: str) -> "GraphIndex":
+        """Write the graphs and go on with the written ones."""
+        self.table.write.parquet(path)
+        self.table.unpersist()
+        return GraphIndex(self.table.sparkSession.read.schema(self.table.schema).parquet(path), self.dimension)
 
     def search(self, queries: list[tuple[int, list[float]]], k: int, ef: int = 64) -> DataFrame:
         """(query_id, doc_id, score, rank from 0)."""
@@ -137,13 +151,17 @@ class GraphIndex:
                 for row in batch.itertuples(index=False):
                     x = np.frombuffer(row.vectors, np.float32).reshape(row.size, dimension)
                     links, own = np.frombuffer(row.links, np.int32).reshape(row.size, -1), np.frombuffer(row.ids, np.int64)
+                    upper = [(rows, x[rows], np.frombuffer(u["links"], np.int32).reshape(len(rows), -1)) for u in reversed(list(row.upper)) for rows in [np.frombuffer(u["rows"], np.int32)]]
                     for q, v in zip(ids, points):
-                        found = _walk(x, links, row.entry, v, max(ef, k))[:k]
+                        at = row.entry
+                        for rows, points_of, links_of in upper:
+                            at = int(rows[_walk(points_of, links_of, int(np.searchsorted(rows, at)), v, 1)[0][1]])
+                        found = _walk(x, links, at, v, max(ef, k))[:k]
                         yield pd.DataFrame({"query_id": q, "doc_id": own[[i for _, i in found]], "score": [round(float(s), 6) for s, _ in found]})
 
         found = self.table.mapInPandas(walk, "query_id long, doc_id long, score double")
         place = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-        return found.withColumn("rank", F.row_number().over(place) - 1).filter(F.col("rank") < k)
+        return found.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k).withColumn("rank", F.col("place") - 1).drop("place")
 
 
 def _walk(x: np.ndarray, links: np.ndarray, entry: int, q: np.ndarray, ef: int) -> list[tuple[float, int]]:

@@ -23,5 +23,11 @@ class EngineOptions:
     vector_tokens: int = 400_000
     force_vectors: bool = False
     dimension: int = 120
+    #: exact, graph, or auto: graphs from so many vectors on.
+    knn: str = "auto"
+    graph_from: int = 50_000
+    graph_ef: int = 64
+    #: Changes that are laid over an index before it is built anew.
+    layers: int = 16
     snippet_tokens: int = 24
     snippet_chars: int = 240

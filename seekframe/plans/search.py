@@ -6,18 +6,23 @@ import dataclasses
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.analysis import Lexicon, query_terms, tokens
+from ..functions.analysis import Lexicon, query_terms, term_arrays, tokens
 from ..operators import bm25, fusion, mining, thesaurus, vectors
 from ..operators import index as ix
 from ..options import EngineOptions
 from ..sources import jsonl, store
 
 MODES = ("bm25", "semantic", "vector", "hybrid")
-TABLES = ("docs", "postings", "lengths", "field_stats", "related", "lexicon", "vectors", "word_vectors", "center")
+TABLES = ("docs", "postings", "lengths", "field_stats", "related", "lexicon", "vectors", "word_vectors", "center", "graph")
+
+
+def vector_text() -> Column:
+    return F.concat_ws("。", "title", "title", "tags", "body")
 
 
 def mode_of(name: str | None, default: str = "hybrid") -> str:
@@ -33,11 +38,27 @@ class Result:
     tokens: list[str]
 
 
+#: Stored documents that a change may replace or delete without a build.
+CHANGED = 10_000
+DOCUMENT = ("ext_id", "url", "title", "body", "tags")
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """DOCUMENT of docs, one row an id: the last by its column `seq`, or, without one, in the table's order."""
+    seq = F.col("seq") if "seq" in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(F.col("ext_id").cast("string").alias("ext_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in DOCUMENT[1:]], seq.alias("seq"))
+    return ix.latest(rows, "ext_id", "seq").drop("seq")
+
+
 class Engine:
-    """Tables of one immutable index version. Upserts, deletes and refreshes give a new engine; the old one stays valid."""
+    """Tables of one immutable index version. Upserts, deletes and refreshes give a new engine; the old one stays valid.
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], lexicon: Lexicon, options: EngineOptions, mined: int = 0, encoder=None, seconds: dict | None = None) -> None:
-        self.spark, self.tables, self.lexicon, self.options, self.mined, self.encoder, self.seconds = spark, tables, lexicon, options, mined, encoder, seconds or {}
+    An upsert or delete lays its rows over the stored tables and leaves the thesaurus and the word vectors as they are;
+    after `layers` changes, and by refresh, the index is built anew.
+    """
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], lexicon: Lexicon, options: EngineOptions, mined: int = 0, encoder=None, seconds: dict | None = None, depth: int = 0) -> None:
+        self.spark, self.tables, self.lexicon, self.options, self.mined, self.encoder, self.seconds, self.depth = spark, tables, lexicon, options, mined, encoder, seconds or {}, depth
 
     # ------------------------------------------------------------------ building
 
@@ -46,8 +67,7 @@ class Engine:
         """docs: (ext_id, url, title, body, tags). words: a dictionary. encoder: a Column function text -> vector."""
         spark, seconds, began = docs.sparkSession, {}, time.time()
         lexicon, mined = Lexicon(words), 0
-        rows = docs.select(F.col("ext_id").cast("string").alias("ext_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("url", "title", "body", "tags")])
-        rows = ix.compacted(ix.latest(rows, "ext_id", F.struct("title", "body", "url", "tags")), "ext_id").withColumnRenamed("new_id", "doc_id").cache()
+        rows = ix.compacted(cleaned(docs), "ext_id").withColumnRenamed("new_id", "doc_id").cache()
         if options.mining:
             # the lexicon's size bound is mining's own: it lives on every worker
             found = mining.mine_words(rows.select(F.concat_ws("。", "title", "body", "tags").alias("text"))).collect()
@@ -68,47 +88,95 @@ class Engine:
         spread = ix.by_field(rows)
         posts = ix.postings(spread, lexicon, stopwords=options.stopwords).cache()
         lens = ix.lengths(spread, lexicon).cache()
-        words = tokens(rows.select("doc_id", F.concat_ws(" ", "title", "body", "tags").alias("t")), "t", ["doc_id"], lexicon, options.stopwords).groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
-        all_docs = rows.select("doc_id").join(words, "doc_id", "left").select("doc_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+        all_docs = term_arrays(rows.select("doc_id", F.concat_ws(" ", "title", "body", "tags").alias("t")), "t", ["doc_id"], lexicon, options.stopwords)
         pairs = thesaurus.related_pairs(all_docs, options.thesaurus["min_co"], options.thesaurus["min_cosine"])
         return {"docs": rows, "postings": posts, "lengths": lens, "field_stats": ix.field_stats(lens), "related": thesaurus.related_terms(pairs, options.thesaurus["top_k"]).cache()}
 
     def _vectors(self) -> None:
         """A given encoder encodes the documents; else word vectors are trained, if there is text enough or it is forced."""
         rows, options = self.tables["docs"], self.options
+        if self.encoder is None:
+            body = self.tables["field_stats"].filter("field = 'body'").first()
+            if not (options.force_vectors or (body and body["total_tokens"] >= options.vector_tokens)):
+                return
+            sentences = term_arrays(rows.select("doc_id", vector_text().alias("t")), "t", ["doc_id"], self.lexicon if len(self.lexicon) else None).select("terms")
+            self.tables["word_vectors"] = vectors.train_word_vectors(sentences, options.dimension).cache()
+            self.tables["center"] = vectors.center(self._pooled(rows, self.tables["postings"], rows.count())).cache()
+        self.tables["vectors"] = self._encoded(rows, self.tables["postings"], rows.count()).cache()
+        if options.knn == "graph" or (options.knn == "auto" and self.tables["vectors"].count() >= options.graph_from):
+            first = self.tables["vectors"].first()
+            if first is not None:
+                self.tables["graph"] = vectors.GraphIndex.build(self.tables["vectors"], len(first["embedding"])).table
+
+    def _pooled(self, rows: DataFrame, posts: DataFrame, n: int) -> DataFrame:
+        """(doc_id, embedding): weighted sums of the word vectors of documents."""
+        found = tokens(rows.select("doc_id", vector_text().alias("t")), "t", ["doc_id"], self.lexicon if len(self.lexicon) else None)
+        tf = found.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")).join(ix.max_field_freq(posts).select("term", F.col("max_df").alias("df")), "term")
+        raw = vectors.pooled(tf, self.tables["word_vectors"], n).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("x"))
+        return raw.select("doc_id", F.transform("x", lambda x: x["value"]).alias("embedding"))
+
+    def _encoded(self, rows: DataFrame, posts: DataFrame, n: int) -> DataFrame:
+        """(doc_id, embedding): unit vectors of documents."""
         if self.encoder is not None:
-            text = F.concat_ws("。", "title", "title", "tags", "body")
-            self.tables["vectors"] = rows.select("doc_id", vectors.normalized(self.encoder(text)).alias("embedding")).cache()
-            return
-        body = self.tables["field_stats"].filter("field = 'body'").first()
-        if not (options.force_vectors or (body and body["total_tokens"] >= options.vector_tokens)):
-            return
-        lexicon = self.lexicon if len(self.lexicon) else None
-        found = tokens(rows.select("doc_id", F.concat_ws("。", "title", "title", "tags", "body").alias("t")), "t", ["doc_id"], lexicon)
-        sentences = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("position", "term"))).alias("x")).select(F.col("x.term").alias("terms"))
-        word_vectors = vectors.train_word_vectors(sentences, options.dimension).cache()
-        n = rows.count()
-        df = ix.max_field_freq(self.tables["postings"]).select("term", F.col("max_df").alias("df"))
-        tf = found.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")).join(df, "term")
-        raw = vectors.pooled(tf, word_vectors, n).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("embedding"))
-        self.tables["word_vectors"], self.tables["center"] = word_vectors, vectors.center(raw).cache()
-        self.tables["vectors"] = vectors.centered(raw).cache()
+            return rows.select("doc_id", vectors.normalized(self.encoder(vector_text())).alias("embedding"))
+        mean = F.broadcast(self.tables["center"].groupBy().agg(F.array_sort(F.collect_list(F.struct("i", "mean"))).alias("m")))  # one row
+        return self._pooled(rows, posts, n).join(mean).select("doc_id", vectors.normalized(F.zip_with("embedding", "m", lambda a, b: a - b["mean"])).alias("embedding"))
 
     # ------------------------------------------------------------------ changes
 
     def upsert(self, docs: DataFrame) -> "Engine":
         """A new engine with these documents added or replaced, under the same dictionary; refresh() mines anew."""
-        old = self.tables["docs"].select("ext_id", "url", "title", "body", "tags").join(docs.select(F.col("ext_id").cast("string")), "ext_id", "left_anti")
-        new = docs.select(F.col("ext_id").cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("url", "title", "body", "tags")])
-        return Engine.build(old.unionByName(new), dataclasses.replace(self.options, mining=False), self.lexicon.freq, self.encoder)
+        new = cleaned(docs)
+        if self.depth >= self.options.layers:
+            old = self.tables["docs"].select(*DOCUMENT).join(new.select("ext_id"), "ext_id", "left_anti")
+            return self._rebuilt(old.unionByName(new))
+        last = self.tables["docs"].agg(F.max("doc_id")).first()[0]
+        new = ix.compacted(new, "ext_id").withColumn("doc_id", F.col("new_id") + F.lit(-1 if last is None else last) + 1).select("doc_id", *DOCUMENT).cache()
+        return self._changed(new.select("ext_id"), new)
 
     def delete(self, ids) -> "Engine":
         ids = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(str(i),) for i in ids], "ext_id string")
-        left = ix.without(self.tables["docs"].select("ext_id", "url", "title", "body", "tags"), ids, "ext_id")
-        return Engine.build(left, dataclasses.replace(self.options, mining=False), self.lexicon.freq, self.encoder)
+        if self.depth >= self.options.layers:
+            return self._rebuilt(ix.without(self.tables["docs"].select(*DOCUMENT), ids, "ext_id"))
+        return self._changed(ids.select(F.col("ext_id").cast("string").alias("ext_id")), None)
+
+    def _changed(self, ids: DataFrame, new: DataFrame | None) -> "Engine":
+        """The tables without the documents of ids and with the new ones: no stored row is made again."""
+        tables, lexicon = dict(self.tables), self.lexicon if len(self.lexicon) else None
+        rows = self.tables["docs"].join(ids, "ext_id", "left_semi").select("doc_id").limit(CHANGED + 1).collect()
+        if len(rows) > CHANGED:  # no small change: the index is built anew
+            left = ix.without(self.tables["docs"].select(*DOCUMENT), ids, "ext_id")
+            return self._rebuilt(left if new is None else left.unionByName(new.select(*DOCUMENT)))
+        # as a table of its own it doesn't carry the plans of those it was read from
+        gone = self.spark.createDataFrame([(r["doc_id"],) for r in rows], self.tables["docs"].select("doc_id").schema)
+        left = lambda name: ix.without(self.tables[name], gone)
+        parts: dict[str, DataFrame] = {}
+        if new is not None:
+            spread = ix.by_field(new)
+            parts = {"docs": new, "postings": ix.postings(spread, lexicon, stopwords=self.options.stopwords), "lengths": ix.lengths(spread, lexicon)}
+        for name in ("docs", "postings", "lengths"):
+            tables[name] = left(name).unionByName(parts[name].select(*self.tables[name].columns)) if name in parts else left(name)
+        tables["field_stats"] = ix.field_stats(tables["lengths"])
+        tables.pop("graph", None)  # exact search until the next build
+        if "vectors" in tables:
+            tables["vectors"] = left("vectors")
+            if new is not None:
+                own = tables["postings"].join(parts["postings"].select("term").distinct(), "term", "left_semi")
+                tables["vectors"] = tables["vectors"].unionByName(self._encoded(new, own, tables["docs"].count()))
+        return Engine(self.spark, tables, self.lexicon, self.options, self.mined, self.encoder, self.seconds, self.depth + 1)
+
+    def _rebuilt(self, docs: DataFrame) -> "Engine":
+        engine = Engine.build(docs, dataclasses.replace(self.options, mining=False), self.lexicon.freq, self.encoder)
+        engine.options, engine.mined = self.options, self.mined
+        return engine
+
+    def close(self) -> None:
+        """Give up the tables held in memory, when no engine made from this one is in use."""
+        for table in self.tables.values():
+            table.unpersist()
 
     def refresh(self) -> "Engine":
-        return Engine.build(self.tables["docs"].select("ext_id", "url", "title", "body", "tags"), dataclasses.replace(self.options, mining=True), self.lexicon.freq, self.encoder)
+        return Engine.build(self.tables["docs"].select(*DOCUMENT), dataclasses.replace(self.options, mining=True), self.lexicon.freq, self.encoder)
 
     def save(self, path: str) -> None:
         marks = jsonl.fingerprint(self.tables["docs"]).first()
@@ -148,6 +216,8 @@ class Engine:
             if not raw or not norm:
                 return None
             v = [r["x"] / norm for r in raw]
+        if "graph" in self.tables:
+            return vectors.GraphIndex(self.tables["graph"], len(v)).search([(0, v)], self.options.pool, self.options.graph_ef).select("doc_id", "score")
         return vectors.nearest(self.tables["vectors"], v, self.options.pool)
 
     def ranked(self, query: str, mode: str = "hybrid", pool: int | None = None) -> DataFrame:
@@ -175,14 +245,24 @@ class Engine:
         top = self.ranked(query, mode)
         if phrase and len(terms) > 1:
             top = top.join(ix.phrase(self.tables["postings"], terms).select("doc_id").distinct(), "doc_id", "left_semi")
-        # at most `pool` rows from here on
-        top = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rank")) - 1).cache()
-        total = top.count()
-        page = top.orderBy("rank").offset(max(0, offset)).limit(max(1, min(self.options.pool, top_k)))
-        rows = page.join(self.tables["docs"], "doc_id")
+        found = top.orderBy("rank").collect()  # at most `pool` rows
+        total, begin = len(found), max(0, offset)
+        names = [c for c in top.columns if c != "rank"]
+        page = [(*[r[c] for c in names], begin + i) for i, r in enumerate(found[begin : begin + max(1, min(self.options.pool, top_k))])]
+        kinds = ", ".join(f"{c} {top.schema[c].dataType.simpleString()}" for c in names)
+        # ids first: the filter reaches the documents' scan
+        own = self.tables["docs"].filter(F.col("doc_id").isin([r[names.index("doc_id")] for r in page]))
+        rows = own.join(F.broadcast(self.spark.createDataFrame(page, f"{kinds}, rank int")), "doc_id")  # a page of hits
         wanted, lexicon, options = set(terms), self.lexicon, self.options
-        show = F.udf(lambda t: tx.snippet(t, wanted, lexicon, options.snippet_tokens, options.snippet_chars))  # a page of hits
-        mark = F.udf(lambda t: tx.marked(t or "", lexicon.analyze(t), wanted))
+
+        @F.pandas_udf("string")
+        def show(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: tx.snippet(t, wanted, lexicon, options.snippet_tokens, options.snippet_chars))
+
+        @F.pandas_udf("string")
+        def mark(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: tx.marked(t or "", lexicon.analyze(t), wanted))
+
         score = F.round(1 / (self.options.rrf_k + F.col("rank") + 1.0), 6) if mode == "hybrid" else F.col("score")
         parts = [c for c in ("bm25", "semantic", "cosine") if c in rows.columns]
         explain = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in parts]), F.array(*[F.round(c, 6) for c in parts])), lambda _, v: v.isNotNull()) if parts else F.lit(None).cast("map<string,double>")
@@ -209,5 +289,5 @@ class Engine:
             "documents": marks["n_docs"], "fingerprint": marks["checksum"], "terms": t["postings"].select("term").distinct().count(), "dictionary_words": len(self.lexicon), "mined_words": self.mined,
             "stopwords": self.options.stopwords, "mining": self.options.mining, "bm25": {"k1": self.options.k1, "b": self.options.b}, "rrf_k": self.options.rrf_k,
             "encoder": "given" if self.encoder is not None else "trained" if "word_vectors" in t else "none", "vocabulary": t["word_vectors"].count() if "word_vectors" in t else 0,
-            "thesaurus_entries": t["related"].select("term").distinct().count(), "knn": "exact", "vectors": t["vectors"].count() if "vectors" in t else 0, "stage_seconds": self.seconds, "analyzer": "mixed",
+            "thesaurus_entries": t["related"].select("term").distinct().count(), "knn": "graph" if "graph" in t else "exact", "vectors": t["vectors"].count() if "vectors" in t else 0, "stage_seconds": self.seconds, "analyzer": "mixed",
         }
