@@ -33,7 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import let, lookup, prepare, saved, text_of
+from ._common import BROADCAST_ROWS, let, prepare, saved, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -180,10 +180,14 @@ def context_terms(found: DataFrame) -> DataFrame:
     return rows.select("row", "kind", "entity", F.explode("terms").alias("term")).select("row", "kind", "term", entities(F.col("kind"), F.col("entity")).alias("entity")).distinct()
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_term): in how many documents each of the terms is."""
+def term_counts(docs: DataFrame, terms: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(term, n_term): in how many documents each of the terms (term) is, and perhaps others."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(words).alias("term")).join(lookup(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    found = docs.select(F.explode(words).alias("term"))
+    if terms.count() <= broadcast_rows:
+        found = found.join(F.broadcast(terms), "term", "left_semi")
+    # beyond that size all terms are counted: counts are combined before their shuffle, single terms would not be
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 
 def disclosing(terms: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:

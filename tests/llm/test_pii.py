@@ -94,3 +94,10 @@ def test_many_matches_in_one_text(spark):
     spans = [tuple(map(int, x.split(":")[1:])) for x in got[2].spans.split(",")]
     assert [text[a:b] for a, b in spans[:20_000]] == [x for x in text.split() if x[0] != "w"]
     assert "10." not in next(r.text for r in pii.sanitised(docs).collect() if r.doc_id == 2)
+
+
+def test_terms_too_many_to_broadcast(spark):
+    docs = table(spark, [(i, t, s) for i, t, s in odd_rows()])
+    terms = spark.createDataFrame([("alpha",), ("shared",), ("absent",)], "term string")
+    few, all_terms = ({r.term: r.n_term for r in pii.term_counts(docs, terms, n).collect()} for n in (10, 0))
+    assert few == {t: all_terms[t] for t in few} and set(few) == {"alpha", "shared"} and len(all_terms) > 10
