@@ -423,3 +423,16 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFram
 def op8(docs: DataFrame) -> DataFrame:
     out = near_duplicates(docs, 4)
     return out.select(id_back("key").alias("doc_id"), "n_shingles", id_back("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+
+
+#: All pairs that share a shingle, exactly; components by reachability.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) < 4 THEN list_filter([array_to_string(w, ' ')], lambda x: x <> '') ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d),
+u AS (SELECT doc_id, unnest(s) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN g ga ON ga.doc_id = a JOIN g gb ON gb.doc_id = b WHERE 100 * n >= 80 * (len(ga.s) + len(gb.s) - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT doc_id, len(s) AS n_shingles, c AS component_id, doc_id = c AS kept FROM g JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) ON a = doc_id
+"""

@@ -31,5 +31,6 @@ ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
     "op3_personal_data": pii.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
+    "op8_near_dedup": near_dedup.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
