@@ -436,12 +436,13 @@ def html_main_text(spark, sf_dir):
     return web.extracted(table(spark, sf_dir, "pages")).select("page_id", "body")
 
 
-META = [("<meta name='description' content='First &amp; best'>", 1), ('<META content="Second" name="description"/>', 2), ("<title>x</title>", 3)]
-
-
-@query("SELECT page_id::BIGINT AS page_id, description FROM (VALUES (1, 'First & best'), (2, 'Second'), (3, '')) v(page_id, description)")
+@query(f"WITH {DOCS} SELECT doc_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS description FROM f")
 def html_description(spark, sf_dir):
-    return spark.createDataFrame(META, "html string, page_id int").select("page_id", web.page_description(web.stripped_page(F.col("html"))).alias("description"))
+    # no page has a description, so each document's title is written into one, name first or content first
+    titles = ix.fielded(table(spark, sf_dir, "documents")).select("doc_id", tx.escape_html(F.col("title")).alias("t"))
+    one, two = F.concat(F.lit("<meta name='description' content='"), "t", F.lit("'>")), F.concat(F.lit('<p>x</p><META content="'), "t", F.lit('" name="description"/>'))
+    pages = titles.select("doc_id", F.when(F.col("doc_id") % 2 == 0, one).otherwise(two).alias("html"))
+    return pages.select("doc_id", web.page_description(web.stripped_page(F.col("html"))).alias("description"))
 
 
 NORMAL = """u0 AS (SELECT page_id, url, regexp_replace(trim(url), '#.*$', '') AS u FROM pages), u1 AS (SELECT *, lower(regexp_extract(u, '^(.*?://)', 1)) AS scheme, regexp_replace(u, '^.*?://', '') AS rest FROM u0),
@@ -470,12 +471,22 @@ def robots_allowed(spark, sf_dir):
     return web.robots_allowed(urls, web.robots_rules(hosts.withColumn("robots_txt", F.lit(ROBOTS)), "seekframe"))
 
 
-TARGETS = [("http://127.0.0.1/x", "loopback target"), ("http://localhost:80/", "loopback target"), ("https://10.1.2.3/", "private network target"), ("http://172.31.0.1/", "private network target"), ("http://172.32.0.1/", ""), ("http://169.254.169.254/latest", "link-local target"), ("ftp://example.com/", "only http(s) targets are crawled"), ("http:///x", "url has no host"), ("http://100.64.0.1/", "carrier-grade NAT range"), ("http://0.0.0.0/", "unspecified address"), ("http://[fc00::1]/", "unique local address"), ("http://224.0.0.1/", "multicast target"), ("http://8.8.8.8/", ""), ("https://example.com/a", "")]
+#: Addresses spread over the whole 32 bits, each in one of the notations that resolvers take.
+ADDRESS = "o_orderkey * 2654435761 % 4294967296"
+_octets = ", ".join(f"n // {256 ** (3 - i)} % 256 AS b{i}" for i in range(4))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{u}', '{r}')" for u, r in TARGETS) + ") v(url, reason)")
+@query(f"""WITH a AS (SELECT o_orderkey, {ADDRESS} AS n FROM orders), o AS (SELECT *, {_octets} FROM a)
+SELECT o_orderkey, CASE WHEN b0 = 127 THEN 'loopback target' WHEN n = 0 THEN 'unspecified address' WHEN b0 = 169 AND b1 = 254 THEN 'link-local target'
+WHEN b0 = 10 OR (b0 = 172 AND b1 BETWEEN 16 AND 31) OR (b0 = 192 AND b1 = 168) THEN 'private network target' WHEN b0 BETWEEN 224 AND 239 THEN 'multicast target'
+WHEN b0 = 100 AND b1 BETWEEN 64 AND 127 THEN 'carrier-grade NAT range' WHEN b0 = 0 THEN '0.0.0.0/8' WHEN b0 >= 240 THEN 'reserved address' ELSE '' END AS reason FROM o""")
 def url_policy(spark, sf_dir):
-    return spark.createDataFrame([(u,) for u, _ in TARGETS], "url string").select("url", F.coalesce(web.target_reason(F.col("url")), F.lit("")).alias("reason"))
+    n = F.expr(ADDRESS)
+    octet = lambda i: F.shiftright(n, 24 - 8 * i).bitwiseAND(F.lit(255)).cast("string")
+    dotted = F.concat_ws(".", *[octet(i) for i in range(4)])
+    notations = F.array(dotted, n.cast("string"), F.concat(F.lit("0x"), F.lower(F.hex(n))), F.concat(F.lit("0"), F.conv(n, 10, 8)), F.concat(octet(0), F.lit("."), n.bitwiseAND(F.lit(0xFFFFFF)).cast("string")), F.concat(F.lit("[::ffff:"), dotted, F.lit("]")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("http://"), F.element_at(notations, (F.col("o_orderkey") % 6 + 1).cast("int")), F.lit(":80/x")).alias("url"))
+    return rows.select("o_orderkey", F.coalesce(web.target_reason(F.col("url")), F.lit("")).alias("reason"))
 
 
 BFS = HREFS + ", e AS (SELECT DISTINCT page_id, link FROM g), b0 AS (SELECT DISTINCT link AS url FROM e WHERE page_id % 2 = 0), k AS (SELECT DISTINCT a.link AS src, b.link AS dst FROM e a JOIN e b USING (page_id)), b1 AS (SELECT DISTINCT dst AS url FROM k JOIN b0 ON src = url EXCEPT SELECT url FROM b0), b2 AS (SELECT DISTINCT dst AS url FROM k JOIN b1 ON src = url EXCEPT (SELECT url FROM b0 UNION SELECT url FROM b1)) SELECT url, 0::BIGINT AS depth FROM b0 UNION ALL SELECT url, 1 FROM b1 UNION ALL SELECT url, 2 FROM b2"
@@ -534,8 +545,10 @@ def latency_percentile(spark, sf_dir):
 # ---------------------------------------------------------------------- mining and Han segmentation (literal texts)
 
 HAN_TEXTS = ["量子纠缠改变通信方式", "我们研究量子纠缠的原理", "他解释量子纠缠很清楚", "实验验证量子纠缠现象", "关于量子纠缠有新论文", "河边的风车转得很慢", "风车旁边有一条河", "孩子们喜欢看风车转动", "旧风车已经停了", "山上风车很多", "搜索引擎用BM25排序", "全文搜索引擎很快", "这个搜索引擎支持中文", "新搜索引擎上线", "价格是3.14元，约1,000.5日元", "ＡＢＣ全角字母也能搜索"]
+#: No table has Han text, so the sentences go with the order keys, written in Han numerals.
+NUMERALS = "零一二三四五六七八九"
 HAN_RX = "[㐀-䶿一-鿿豈-﫿]+"
-GRAMS = f"""WITH tx AS (SELECT unnest([{_list(HAN_TEXTS)}]) AS text), ru AS (SELECT unnest(regexp_extract_all(text, '{HAN_RX}')) AS run, text FROM tx), ats AS (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM ru), pl AS (SELECT run, i, unnest(range(1, least(6, length(run) - i + 1) + 1)) AS n FROM ats),
+GRAMS = f"""WITH tx AS (SELECT unnest([{_list(HAN_TEXTS)}]) AS text UNION ALL SELECT translate(o_orderkey::VARCHAR, '0123456789', '{NUMERALS}') FROM orders), ru AS (SELECT unnest(regexp_extract_all(text, '{HAN_RX}')) AS run, text FROM tx), ats AS (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM ru), pl AS (SELECT run, i, unnest(range(1, least(6, length(run) - i + 1) + 1)) AS n FROM ats),
 gp AS (SELECT substr(run, i, n) AS gram, CASE WHEN i > 1 THEN substr(run, i - 1, 1) END AS before, CASE WHEN i + n <= length(run) THEN substr(run, i + n, 1) END AS after FROM pl), gc AS (SELECT gram, count(*) AS freq FROM gp GROUP BY gram), gt AS (SELECT sum(freq)::DOUBLE AS total FROM gc),
 hv AS (SELECT gram, freq, total, unnest(range(1, length(gram))) AS i FROM gc, gt WHERE length(gram) >= 2 AND freq >= 2),
 co AS (SELECT hv.gram, hv.freq, min(log2(hv.freq * total / (greatest(coalesce(l.freq, 0.5e0), 0.5e0) * greatest(coalesce(r.freq, 0.5e0), 0.5e0))) / -log2(hv.freq / total)) AS cohesion FROM hv LEFT JOIN gc l ON l.gram = substr(hv.gram, 1, i) LEFT JOIN gc r ON r.gram = substr(hv.gram, i + 1) GROUP BY hv.gram, hv.freq),
@@ -544,36 +557,37 @@ en AS (SELECT gram, side, -sum(n / tot * log2(n / tot)) AS h FROM (SELECT *, sum
 fr AS (SELECT co.gram, least(coalesce(max(h) FILTER (side = 'l'), 0), coalesce(max(h) FILTER (side = 'r'), 0)) AS freedom FROM co LEFT JOIN en USING (gram) GROUP BY co.gram)"""
 
 
-def _han(spark) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in HAN_TEXTS], "text string")
+def _han(spark, sf_dir) -> DataFrame:
+    keys = table(spark, sf_dir, "orders").select(F.translate(F.col("o_orderkey").cast("string"), "0123456789", NUMERALS).alias("text"))
+    return spark.createDataFrame([(t,) for t in HAN_TEXTS], "text string").unionByName(keys)
 
 
 @query(GRAMS + " SELECT gram, freq FROM gc")
 def mine_ngrams(spark, sf_dir):
-    return mining.gram_counts(mining.gram_places(_han(spark)))
+    return mining.gram_counts(mining.gram_places(_han(spark, sf_dir)))
 
 
 @query(GRAMS + " SELECT gram, freq, round(cohesion, 6) AS cohesion FROM co")
 def mine_cohesion(spark, sf_dir):
-    return mining.cohesion(mining.gram_counts(mining.gram_places(_han(spark)))).withColumn("cohesion", r6("cohesion"))
+    return mining.cohesion(mining.gram_counts(mining.gram_places(_han(spark, sf_dir)))).withColumn("cohesion", r6("cohesion"))
 
 
 @query(GRAMS + " SELECT gram, round(abs(freedom), 6) AS freedom FROM fr")
 def mine_freedom(spark, sf_dir):
-    places = mining.gram_places(_han(spark))
+    places = mining.gram_places(_han(spark, sf_dir))
     grams = mining.cohesion(mining.gram_counts(places))
     return mining.freedom(places, grams).withColumn("freedom", r6(F.abs("freedom")))
 
 
 @query(GRAMS + " SELECT gram AS term, freq, round(cohesion, 6) AS cohesion, round(freedom, 6) AS freedom FROM co JOIN fr USING (gram) WHERE cohesion >= 0.5 AND freedom >= 0.8")
 def mine_words(spark, sf_dir):
-    return mining.mine_words(_han(spark))
+    return mining.mine_words(_han(spark, sf_dir))
 
 
 @query()
 def han_cut(spark, sf_dir):
     words = ["量子", "纠缠", "量子纠缠", "改变", "通信", "方式", "研究", "原理", "解释", "实验", "验证", "现象", "论文", "风车", "搜索", "引擎", "搜索引擎", "全文", "中文", "支持", "价格", "全角", "字母", "孩子", "喜欢"]
-    rows = _han(spark).withColumn("row", F.monotonically_increasing_id())
+    rows = spark.createDataFrame([(t,) for t in HAN_TEXTS], "text string").withColumn("row", F.monotonically_increasing_id())
     return tokens(rows, "text", ["row"], Lexicon(words))
 
 
