@@ -489,14 +489,19 @@ def url_policy(spark, sf_dir):
     return rows.select("o_orderkey", F.coalesce(web.target_reason(F.col("url")), F.lit("")).alias("reason"))
 
 
-BFS = HREFS + ", e AS (SELECT DISTINCT page_id, link FROM g), b0 AS (SELECT DISTINCT link AS url FROM e WHERE page_id % 2 = 0), k AS (SELECT DISTINCT a.link AS src, b.link AS dst FROM e a JOIN e b USING (page_id)), b1 AS (SELECT DISTINCT dst AS url FROM k JOIN b0 ON src = url EXCEPT SELECT url FROM b0), b2 AS (SELECT DISTINCT dst AS url FROM k JOIN b1 ON src = url EXCEPT (SELECT url FROM b0 UNION SELECT url FROM b1)) SELECT url, 0::BIGINT AS depth FROM b0 UNION ALL SELECT url, 1 FROM b1 UNION ALL SELECT url, 2 FROM b2"
+_seen = lambda n: " UNION ".join(f"SELECT url FROM b{i}" for i in range(n))
+BFS = HREFS + f", e AS (SELECT DISTINCT url AS src, link AS dst FROM g JOIN pages USING (page_id)), k AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), b0 AS (SELECT DISTINCT arg_min(url, page_id) AS url FROM pages GROUP BY {ROOT})"
+BFS += "".join(f", b{n} AS (SELECT DISTINCT dst AS url FROM k JOIN b{n - 1} ON src = url EXCEPT ({_seen(n)}))" for n in (1, 2, 3)) + " " + " UNION ALL ".join(f"SELECT url, {n}::BIGINT AS depth FROM b{n}" for n in range(4))
 
 
 @query(BFS)
 def crawl_bfs(spark, sf_dir):
-    links = web.extracted(table(spark, sf_dir, "pages")).select("page_id", F.explode("links").alias("link")).distinct()
-    edges = links.select("page_id", F.col("link").alias("src")).join(links.select("page_id", F.col("link").alias("dst")), "page_id").select("src", "dst").distinct()
-    return crawl.breadth_first(edges, links.filter("page_id % 2 = 0").select(F.col("link").alias("url")), 2)
+    # from each host's first page along links and back along them: no page of these tables links to another one
+    rows = web.extracted(table(spark, sf_dir, "pages"))
+    links = rows.select(F.col("url").alias("src"), F.explode("links").alias("dst"))
+    edges = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    hosts = rows.groupBy(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1).alias("host")).agg(F.min_by("url", "page_id").alias("url"))
+    return crawl.breadth_first(edges, hosts, 3)
 
 
 @query()
