@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 import sys
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -16,10 +17,13 @@ from .functions import web
 from .functions.analysis import Lexicon
 from .operators import vectors
 from .options import EngineOptions
+from .plans.evaluate import evaluate, report
 from .plans.search import Engine, mode_of
 from .sources import jsonl
+from .sources.fetch import Fetcher, Refused
 
 BODY_LIMIT = 8 << 20
+AGENT = "seekframe"
 DOC = "ext_id string, url string, title string, body string, tags string"
 
 
@@ -27,7 +31,7 @@ class Service:
     """Holds the current engine; changes replace it, queries keep the one they began with."""
 
     def __init__(self, engine: Engine, fetch=None) -> None:
-        self.engine, self.fetch, self.lock = engine, fetch, threading.Lock()
+        self.engine, self.fetch, self.lock, self.robots = engine, fetch, threading.Lock(), {}
 
     def search(self, text: str, mode: str | None = None, top_k: int = 10, offset: int = 0, phrase: bool = False, highlight: bool = True) -> dict:
         result = self.engine.search(text, mode_of(mode), top_k, offset, phrase, highlight)
@@ -50,13 +54,31 @@ class Service:
             self.engine = self.engine.delete([ext_id]) if found else self.engine
         return {"deleted": found}
 
-    def crawl(self, url: str) -> dict:
+    def allowed(self, url: str) -> bool:
+        """Whether the robots file of the url's host, read once, lets it be fetched."""
+        spark, root = self.engine.spark, "/".join(url.split("/", 3)[:3])
+        host = root.split("://", 1)[-1]
+        if host not in self.robots:
+            try:
+                status, text = self.fetch(f"{root}/robots.txt")
+            except OSError:
+                status, text = 0, ""
+            self.robots[host] = text if 200 <= status < 300 else ""
+        files = spark.createDataFrame([(re.sub(":(80|443)$", "", host.lower()), self.robots[host])], "host string, robots_txt string")
+        return web.robots_allowed(spark.createDataFrame([(url,)], "url string"), web.robots_rules(files, AGENT)).first()["allowed"]
+
+    def crawl(self, url: str, allow_private: bool = False) -> dict:
         """Fetch one page by the given fetcher (url -> (status, html)), extract it and index it."""
         spark = self.engine.spark
         facts = spark.createDataFrame([(url,)], "url string").select(web.normalized_url(F.col("url")).alias("n"), web.target_reason(F.col("url")).alias("why")).first()
-        if facts["why"]:
+        if facts["why"] and not allow_private:
             return {"ok": False, "url": url, "reason": facts["why"]}
-        status, html = self.fetch(facts["n"])
+        try:
+            if not self.allowed(facts["n"]):
+                return {"ok": False, "url": url, "reason": "blocked by robots.txt"}
+            status, html = self.fetch(facts["n"])
+        except (Refused, OSError) as e:
+            return {"ok": False, "url": url, "reason": str(e)}
         if not 200 <= status < 300:
             return {"ok": False, "url": url, "reason": f"status {status}"}
         page = web.extracted(spark.createDataFrame([(0, facts["n"], html)], "page_id int, url string, html string")).first()
@@ -183,15 +205,16 @@ def rpc(service: Service, line: str) -> dict | None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="seekframe")
-    p.add_argument("command", choices=("serve", "search", "index", "dump", "delete", "analyze", "vector", "stats", "mcp", "build"))
+    p.add_argument("command", choices=("serve", "search", "index", "dump", "delete", "analyze", "vector", "stats", "mcp", "build", "eval", "crawl"))
     p.add_argument("text", nargs="*")
-    for name in ("corpus", "store", "dict", "out", "id", "mode"):
+    for name in ("corpus", "store", "dict", "out", "id", "mode", "queries"):
         p.add_argument(f"--{name}")
     for name, value in (("port", 8080), ("top", 10), ("from", 0)):
         p.add_argument(f"--{name}", type=int, default=value)
     for name, value in (("k1", 1.2), ("b", 0.75)):
         p.add_argument(f"--{name}", type=float, default=value)
-    for name in ("phrase", "stopwords", "force-vectors", "no-mining"):
+    p.add_argument("--knn", choices=("auto", "exact", "graph"), default="auto")
+    for name in ("phrase", "stopwords", "force-vectors", "no-mining", "allow-private"):
         p.add_argument(f"--{name}", action="store_true")
     p.add_argument("--fusion", type=lambda s: tuple(map(float, s.split(","))), default=EngineOptions().fusion)
     return p
@@ -205,7 +228,7 @@ def main(argv=None, spark: SparkSession | None = None, out=sys.stdout) -> int:
     if a.command == "analyze":
         say(" ".join(t["term"] for t in Lexicon(words).analyze(text, a.stopwords)))
         return 0
-    options = EngineOptions(k1=a.k1, b=a.b, stopwords=a.stopwords, mining=not a.no_mining, force_vectors=a.force_vectors, fusion=a.fusion)
+    options = EngineOptions(k1=a.k1, b=a.b, stopwords=a.stopwords, mining=not a.no_mining, force_vectors=a.force_vectors, fusion=a.fusion, knn=a.knn)
     if a.corpus:
         docs = jsonl.read_corpus(spark, a.corpus)
         if docs.isEmpty():
@@ -217,7 +240,7 @@ def main(argv=None, spark: SparkSession | None = None, out=sys.stdout) -> int:
     else:
         say("--corpus or --store is required")
         return 2
-    service = Service(engine)
+    service = Service(engine, Fetcher(allow_private=a.allow_private))
     if a.command == "search":
         for hit in service.search(text, a.mode, a.top, getattr(a, "from"), a.phrase)["hits"]:
             say(json.dumps(hit, ensure_ascii=False))
@@ -225,6 +248,16 @@ def main(argv=None, spark: SparkSession | None = None, out=sys.stdout) -> int:
         service.engine = engine.upsert(jsonl.json_lines(jsonl.numbered_lines(spark, text).select("value", "line")))
     elif a.command == "delete":
         say(json.dumps(service.delete(a.id or text)))
+    elif a.command == "eval":
+        written = report(evaluate(engine, jsonl.read_queries(spark, a.queries or text), min(a.top, 5)), min(a.top, 5))
+        if a.out:
+            with open(a.out, "w", encoding="utf-8") as f:
+                f.write(written)
+        else:
+            say(written)
+    elif a.command == "crawl":
+        for url in a.text:
+            say(json.dumps(service.crawl(url, a.allow_private), ensure_ascii=False))
     elif a.command == "stats":
         say(json.dumps(engine.stats(), ensure_ascii=False, default=str))
     elif a.command == "vector":
@@ -243,7 +276,7 @@ def main(argv=None, spark: SparkSession | None = None, out=sys.stdout) -> int:
         for line in sys.stdin:
             if (reply := rpc(service, line)) is not None:
                 print(json.dumps(reply, ensure_ascii=False), flush=True)
-    if a.store and (a.corpus or a.command in ("index", "delete", "build")):
+    if a.store and (a.corpus or a.command in ("index", "delete", "build", "crawl")):
         service.engine.save(a.store)
     return 0
 
