@@ -179,6 +179,7 @@ def target_reason(url: Column) -> Column:
     judged again by what they resolve to where they are fetched (`sources.fetch`)."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/?#]*@)?(\[[^\]]*\]|[^:/?#@]*)", 1))
 
+    # the reasons are fixed values: clients and logs read their wording
     def judged(x: Column) -> Column:
         host, v4, a, b = x["host"], x["v4"], F.shiftright(x["v4"], 24), F.shiftright(x["v4"], 16).bitwiseAND(F.lit(255))
         return (
