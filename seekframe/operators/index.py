@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.analysis import Lexicon, places_by_term, term_arrays, tokens
+from ..functions.analysis import Lexicon, places_by_term, term_arrays
 
 FIELDS = ("title", "body", "tags")
 
@@ -33,7 +33,8 @@ def postings(rows: DataFrame, lexicon: Lexicon | None = None, terms: list[str] |
     A field's tokens are all in one row, so its postings are made there: nothing is shuffled.
     """
     if terms is not None:  # few rows are left after the filter; those are grouped
-        found = tokens(rows, "text", ["doc_id", "field"], lexicon, stopwords).filter(F.col("term").isin(terms))
+        held = F.transform("terms", lambda t, i: F.when(t.isin(terms), F.struct(t.alias("term"), i.alias("position"))))
+        found = term_arrays(rows, "text", ["doc_id", "field"], lexicon, stopwords).select("doc_id", "field", F.inline(F.filter(held, lambda x: x.isNotNull())))
         return found.groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
     found = term_arrays(rows, "text", ["doc_id", "field"], lexicon, stopwords)
     found = found.select("field", "doc_id", F.inline(places_by_term(F.col("terms"))))
