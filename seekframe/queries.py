@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions import web
-from .functions.analysis import FOLD_FROM, FOLD_TO, LATIN_RUNS, Lexicon, latin_terms, tokens
+from .functions.analysis import FOLD_FROM, FOLD_TO, LATIN_RUNS, RUNS, Lexicon, latin_terms, places_by_term, tokens
 from .operators import bm25, crawl, evaluation, fusion, mining, thesaurus, vectors
 from .operators import index as ix
 from .options import EngineOptions
@@ -115,8 +115,9 @@ def tokens_by_doc(spark, sf_dir):
 
 @query(ONE + " SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY term")
 def term_stats(spark, sf_dir):
-    per_doc = all_terms(spark, sf_dir).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    # a document's terms stand in one row: counted there, only (term, n) is shuffled
+    per_doc = term_sets(spark, sf_dir).select(F.inline(places_by_term(F.col("terms"))))
+    return per_doc.groupBy("term").agg(F.sum(F.size("positions")).alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
 @query(MANY + " SELECT field, doc_id, len FROM lens")
@@ -263,10 +264,14 @@ def query_expansion(spark, sf_dir):
     return thesaurus.expansion(thesaurus.related_terms(thesaurus.related_pairs(term_sets(spark, sf_dir), only=SEEDS)), SEEDS)
 
 
-def _semantic(spark, sf_dir) -> DataFrame:
+def _weights(spark, sf_dir) -> dict[str, float]:
     extra = query_expansion(spark, sf_dir).collect()  # a dozen rows
-    weights = {t: 1.0 for t in SEEDS} | {r["term"]: float(r["weight"]) for r in extra}
-    return bm25.scores(*index_of(fields(spark, sf_dir), list(weights)), weights)
+    return {t: 1.0 for t in SEEDS} | {r["term"]: float(r["weight"]) for r in extra}
+
+
+def scored(found: DataFrame, i: int) -> DataFrame:
+    """(doc_id, score) of the i-th query of several."""
+    return found.select("doc_id", F.get("scores", F.lit(i)).alias("score")).filter("score > 0")
 
 
 SEMANTIC = POSTS.replace("WITH ", "WITH RECURSIVE one_d AS (SELECT doc_id, " + _terms("coalesce(text, chr(32))") + " AS ts FROM documents), one AS (SELECT doc_id, unnest(ts) AS term FROM one_d), ", 1) + EXPANDED.replace(" FROM t)", " FROM one)").replace("SELECT DISTINCT doc_id, term FROM t", "SELECT DISTINCT doc_id, term FROM one") + f", weights AS (SELECT unnest([{_list(SEEDS)}]) AS term, 1 AS weight UNION ALL SELECT term, weight FROM e WHERE weight > 0), {_scores('zs', 'weights')}"
@@ -274,7 +279,8 @@ SEMANTIC = POSTS.replace("WITH ", "WITH RECURSIVE one_d AS (SELECT doc_id, " + _
 
 @query(SEMANTIC + " " + _top("zs", 50))
 def semantic_topk(spark, sf_dir):
-    return top(_semantic(spark, sf_dir), 50)
+    docs = ix.fielded(table(spark, sf_dir, "documents"))
+    return top(scored(bm25.scanned(docs, [_weights(spark, sf_dir)]), 0), 50)
 
 
 # ---------------------------------------------------------------------- vectors
@@ -317,9 +323,9 @@ def vector_center(spark, sf_dir):
     return vectors.center(embedded(spark, sf_dir)).withColumn("mean", r6("mean"))
 
 
-@query("WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), m AS (SELECT i, avg(v) AS m FROM x GROUP BY i), c AS (SELECT vec_id, i, v - m AS c FROM x JOIN m USING (i)), n AS (SELECT vec_id, sqrt(sum(c * c)) AS n FROM c GROUP BY vec_id) SELECT vec_id AS doc_id, round(sum(CASE WHEN i = 0 THEN c / n END), 6) AS first, round(sum(CASE WHEN i = 63 THEN c / n END), 6) AS last FROM c JOIN n USING (vec_id) GROUP BY vec_id")
+@query("WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), m AS (SELECT i, avg(v) AS m FROM x GROUP BY i), c AS (SELECT vec_id, i, v - m AS c FROM x JOIN m USING (i)), n AS (SELECT vec_id, sqrt(sum(c * c)) AS n FROM c GROUP BY vec_id) SELECT vec_id AS doc_id, i, round(c / n, 6) AS value FROM c JOIN n USING (vec_id)")
 def vector_centered(spark, sf_dir):
-    return vectors.centered(embedded(spark, sf_dir)).select("doc_id", r6(F.get("embedding", F.lit(0))).alias("first"), r6(F.get("embedding", F.lit(63))).alias("last"))
+    return vectors.centered(embedded(spark, sf_dir)).select("doc_id", F.posexplode("embedding").alias("i", "value")).withColumn("value", r6("value"))
 
 
 @query(ONE + """, n AS (SELECT count(*) AS n FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
@@ -362,8 +368,10 @@ def weighted_fusion(spark, sf_dir):
 def hybrid_topk(spark, sf_dir):
     rows = embedded(spark, sf_dir)
     near = top(vectors.nearest(rows, rows.filter("doc_id = 0").first()["embedding"], 200), 200)
-    lexical = top(bm25.scores(*index_of(fields(spark, sf_dir), SEEDS), SEEDS), 200)
-    fused = fusion.reciprocal_rank([lexical, top(_semantic(spark, sf_dir), 200), near], EngineOptions().fusion)
+    # both queries are scored in one pass, whose narrow rows are dealt once and read twice
+    docs = ix.fielded(table(spark, sf_dir, "documents"))
+    both = bm25.scanned(docs, [bm25.weights_of(SEEDS), _weights(spark, sf_dir)]).repartition("doc_id")
+    fused = fusion.reciprocal_rank([top(scored(both, 0), 200), top(scored(both, 1), 200), near], EngineOptions().fusion)
     return bm25.ranked(fused, 20, 9).select("doc_id", F.col("score").alias("fused"), "rank")
 
 
@@ -504,7 +512,12 @@ def crawl_bfs(spark, sf_dir):
     return crawl.breadth_first(edges, hosts, 3)
 
 
-@query()
+_part = lambda name: f"{name} AS ({ORACLES[name]})"
+
+
+@query("WITH " + ", ".join(map(_part, ("html_title", "html_main_text", "html_links", "url_normalize", "robots_allowed"))) + """, li AS (SELECT page_id, sum(n)::BIGINT AS n FROM html_links GROUP BY page_id), al AS (SELECT url, bool_and(allowed) AS allowed FROM robots_allowed GROUP BY url),
+x AS (SELECT url, normal, title, body, coalesce(li.n, 0) AS n_links, CASE WHEN NOT allowed THEN 'blocked by robots.txt' WHEN trim(title) = '' AND trim(body) = '' THEN 'no prose' ELSE '' END AS reason FROM pages JOIN al USING (url) JOIN url_normalize USING (page_id) JOIN html_title USING (page_id) JOIN html_main_text USING (page_id) LEFT JOIN li USING (page_id))
+SELECT url, normal, reason = '' AS ok, reason, title, length(body) AS chars, n_links FROM x""")
 def crawl_log(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     hosts = pages.select(F.lower(F.expr("try_parse_url(url, 'HOST')")).alias("host")).distinct()
@@ -589,11 +602,25 @@ def mine_words(spark, sf_dir):
     return mining.mine_words(_han(spark, sf_dir))
 
 
-@query()
+CUT_WORDS = ["量子", "纠缠", "量子纠缠", "改变", "通信", "方式", "研究", "原理", "解释", "实验", "验证", "现象", "论文", "风车", "搜索", "引擎", "搜索引擎", "全文", "中文", "支持", "价格", "全角", "字母", "孩子", "喜欢"]
+#: Overlapping words among the numerals, so that both directions of matching disagree on many keys.
+CUT_WORDS += ["一二", "二三", "二三四", "三四", "四五六", "五六", "六七", "六七八", "八九", "九零", "零一", "零一二", "一一", "三三三"]
+_longest = lambda match: f"coalesce(list_max(list_transform(list_filter([{_list(CUT_WORDS)}], lambda x: {match}), lambda x: length(x))), 1)"
+_squares = lambda c: f"list_sum(list_transform({c}, lambda x: length(x)::DOUBLE * length(x))) / len({c}) - (length(run)::DOUBLE / len({c})) ** 2"
+_costs = lambda c: f"100 * len({c}) + len(list_filter({c}, lambda x: length(x) = 1))"
+
+
+@query(f"""WITH RECURSIVE tx AS (SELECT unnest([{_list(HAN_TEXTS)}]) AS text UNION ALL SELECT translate(o_orderkey::VARCHAR, '0123456789', '{NUMERALS}') FROM orders), rl AS (SELECT text, regexp_extract_all(translate(text, '{_quoted(FOLD_FROM)}', '{_quoted(FOLD_TO)}'), '{RUNS}') AS rs FROM tx),
+ru AS (SELECT text, unnest(rs) AS run, generate_subscripts(rs, 1) AS k FROM rl), hr AS (SELECT DISTINCT run FROM ru WHERE regexp_matches(run, '^{HAN_RX}$')),
+fw AS (SELECT run, 1::BIGINT AS pos, []::VARCHAR[] AS cut FROM hr UNION ALL SELECT run, pos + n, list_append(cut, substr(run, pos, n)) FROM (SELECT *, {_longest("substr(run, pos, length(x)) = x")} AS n FROM fw WHERE pos <= length(run))),
+bw AS (SELECT run, length(run) AS last, []::VARCHAR[] AS cut FROM hr UNION ALL SELECT run, last - n, list_prepend(substr(run, last - n + 1, n), cut) FROM (SELECT *, {_longest("length(x) <= last AND substr(run, greatest(last - length(x) + 1, 1), length(x)) = x")} AS n FROM bw WHERE last > 0)),
+ab AS (SELECT run, fw.cut AS a, bw.cut AS b FROM fw JOIN bw USING (run) WHERE pos > length(run) AND last = 0),
+ch AS (SELECT run, CASE WHEN {_costs("a")} < {_costs("b")} THEN a WHEN {_costs("a")} > {_costs("b")} THEN b WHEN round(1000 * ({_squares("b")})) > round(1000 * ({_squares("a")})) THEN b ELSE a END AS cut FROM ab),
+al AS (SELECT text, flatten(list(coalesce(cut, [run]) ORDER BY k)) AS ts FROM ru LEFT JOIN ch USING (run) GROUP BY text)
+SELECT text AS sentence, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS position FROM al""")
 def han_cut(spark, sf_dir):
-    words = ["量子", "纠缠", "量子纠缠", "改变", "通信", "方式", "研究", "原理", "解释", "实验", "验证", "现象", "论文", "风车", "搜索", "引擎", "搜索引擎", "全文", "中文", "支持", "价格", "全角", "字母", "孩子", "喜欢"]
-    rows = spark.createDataFrame([(t,) for t in HAN_TEXTS], "text string").withColumn("row", F.monotonically_increasing_id())
-    return tokens(rows, "text", ["row"], Lexicon(words))
+    rows = _han(spark, sf_dir).withColumn("sentence", F.col("text"))
+    return tokens(rows, "text", ["sentence"], Lexicon(CUT_WORDS))
 
 
 # ---------------------------------------------------------------------- sources and sinks
