@@ -43,14 +43,15 @@ def scores(posts: DataFrame, lens: DataFrame, stats: DataFrame, terms: list[str]
 
 
 def scanned(docs: DataFrame, queries: list[dict[str, float]], options: EngineOptions = EngineOptions()) -> DataFrame:
-    """(doc_id, scores): one score a query (term -> weight) of documents (doc_id and the boosted fields) with a term of any.
+    """(doc_id, scores): one score a query (term -> weight) of every document (doc_id and the boosted fields), 0 without a
+    term of it.
 
     For texts that no index holds: one pass counts lengths and frequencies into a single row, which is all the driver
     gets, and one scores each document within its row. Nothing else is shuffled. Han characters are boundaries.
     """
     terms = sorted(set().union(*queries))
     if not terms:
-        return docs.select("doc_id", F.array(*[F.lit(0.0) for _ in queries]).alias("scores")).limit(0)
+        return docs.select("doc_id", F.array(*[F.lit(0.0) for _ in queries]).alias("scores"))
     known = F.array(*[F.lit(t) for t in terms])
 
     def counted(field: str) -> Column:
@@ -63,18 +64,18 @@ def scanned(docs: DataFrame, queries: list[dict[str, float]], options: EngineOpt
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f)["len"].cast("long")).alias(f"len_{f}") for f in options.boosts], *[F.count_if(h).alias(f"df_{i}") for i, h in enumerate(held)]).first()
     rarity = [math.log(1 + (totals["n"] - totals[f"df_{i}"] + 0.5) / (totals[f"df_{i}"] + 0.5)) for i in range(len(terms))]
 
-    def gains(field: str, factors: list[float]) -> Column:
+    def gains(counted: Column, field: str, factors: list[float]) -> Column:
         mean = (totals[f"len_{field}"] or 0) / max(1, totals["n"])
-        norm = options.k1 * (1 - options.b + options.b * (F.col(field)["len"] / mean if mean else F.lit(0.0)))
-        each = F.zip_with(F.col(field)["tf"], F.array(*[F.lit(x) for x in factors]), lambda tf, x: F.when(tf > 0, x * tf / (tf + norm)).otherwise(F.lit(0.0)))
+        norm = options.k1 * (1 - options.b + options.b * (counted["len"] / mean if mean else F.lit(0.0)))
+        each = F.zip_with(counted["tf"], F.array(*[F.lit(x) for x in factors]), lambda tf, x: F.when(tf > 0, x * tf / (tf + norm)).otherwise(F.lit(0.0)))
         return F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
 
-    def score(query: dict[str, float]) -> Column:
+    def score(counts: Column, query: dict[str, float]) -> Column:
         weight = [float(query.get(t, 0.0)) * x * (options.k1 + 1) for t, x in zip(terms, rarity)]
-        return sum((gains(f, [boost * w for w in weight]) for f, boost in options.boosts.items()), F.lit(0.0))
+        return sum((gains(counts[f], f, [boost * w for w in weight]) for f, boost in options.boosts.items()), F.lit(0.0))
 
-    found = rows.select("doc_id", F.array(*[score(q) for q in queries]).alias("scores"))
-    return found.filter(F.exists("scores", lambda x: x > 0))
+    # one expression from text to scores: a filter on it would be moved below and count every text twice
+    return docs.select("doc_id", let(F.struct(*[counted(f) for f in options.boosts]), lambda x: F.array(*[score(x, q) for q in queries])).alias("scores"))
 
 
 def ranked(found: DataFrame, pool: int, digits: int = 6) -> DataFrame:

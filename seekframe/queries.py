@@ -269,9 +269,9 @@ def _weights(spark, sf_dir) -> dict[str, float]:
     return {t: 1.0 for t in SEEDS} | {r["term"]: float(r["weight"]) for r in extra}
 
 
-def scored(found: DataFrame, i: int) -> DataFrame:
-    """(doc_id, score) of the i-th query of several."""
-    return found.select("doc_id", F.get("scores", F.lit(i)).alias("score")).filter("score > 0")
+def best(found: DataFrame, i: int, n: int) -> DataFrame:
+    """The top n of the i-th of several queries. Those without a score go after the limit, which the scan ends in."""
+    return top(found.select("doc_id", F.get("scores", F.lit(i)).alias("score")), n).filter("score > 0")
 
 
 SEMANTIC = POSTS.replace("WITH ", "WITH RECURSIVE one_d AS (SELECT doc_id, " + _terms("coalesce(text, chr(32))") + " AS ts FROM documents), one AS (SELECT doc_id, unnest(ts) AS term FROM one_d), ", 1) + EXPANDED.replace(" FROM t)", " FROM one)").replace("SELECT DISTINCT doc_id, term FROM t", "SELECT DISTINCT doc_id, term FROM one") + f", weights AS (SELECT unnest([{_list(SEEDS)}]) AS term, 1 AS weight UNION ALL SELECT term, weight FROM e WHERE weight > 0), {_scores('zs', 'weights')}"
@@ -280,7 +280,7 @@ SEMANTIC = POSTS.replace("WITH ", "WITH RECURSIVE one_d AS (SELECT doc_id, " + _
 @query(SEMANTIC + " " + _top("zs", 50))
 def semantic_topk(spark, sf_dir):
     docs = ix.fielded(table(spark, sf_dir, "documents"))
-    return top(scored(bm25.scanned(docs, [_weights(spark, sf_dir)]), 0), 50)
+    return best(bm25.scanned(docs, [_weights(spark, sf_dir)]), 0, 50)
 
 
 # ---------------------------------------------------------------------- vectors
@@ -371,7 +371,7 @@ def hybrid_topk(spark, sf_dir):
     # both queries are scored in one pass, whose narrow rows are dealt once and read twice
     docs = ix.fielded(table(spark, sf_dir, "documents"))
     both = bm25.scanned(docs, [bm25.weights_of(SEEDS), _weights(spark, sf_dir)]).repartition("doc_id")
-    fused = fusion.reciprocal_rank([top(scored(both, 0), 200), top(scored(both, 1), 200), near], EngineOptions().fusion)
+    fused = fusion.reciprocal_rank([best(both, 0, 200), best(both, 1, 200), near], EngineOptions().fusion)
     return bm25.ranked(fused, 20, 9).select("doc_id", F.col("score").alias("fused"), "rank")
 
 
