@@ -208,7 +208,9 @@ def normalize_entry(entry: str) -> str:
 
 
 def dictionary_words(lines: DataFrame) -> DataFrame:
-    """(word) of dictionary lines (value): comments go, entries are split at white space and commas, folded, distinct."""
+    """(word) of dictionary lines (value): comments go, entries are split at white space and commas, folded, lower-cased
+    below U+3000, distinct."""
     parts = F.explode(F.split(F.col("value"), "[\\s,，、]+"))
     words = lines.filter(~F.trim("value").startswith("#")).select(parts.alias("word")).filter(~F.col("word").startswith("#"))
-    return words.select(F.regexp_replace(F.lower(fold(F.col("word"))), "\\s", "").alias("word")).filter("word <> ''").distinct()
+    letters = F.transform(F.split(fold(F.col("word")), ""), lambda c: F.when(c < "\u3000", F.lower(c)).otherwise(c))
+    return words.select(F.regexp_replace(F.array_join(letters, ""), "\\s", "").alias("word")).filter("word <> ''").distinct()

@@ -183,10 +183,10 @@ class Engine:
         store.save(self.spark, path, {k: v for k, v in self.tables.items() if k in TABLES}, {"n_docs": marks["n_docs"], "checksum": marks["checksum"], "stopwords": self.options.stopwords, "mined": self.mined})
 
     @staticmethod
-    def restore(spark: SparkSession, path: str, options: EngineOptions = EngineOptions(), expected: dict | None = None, encoder=None) -> "Engine":
-        """The saved tables are used as they are, thesaurus and vectors included. Other stopword settings, another format
-        or another checksum than expected raise StaleStore."""
-        tables, facts = store.load(spark, path, {"stopwords": options.stopwords, **(expected or {})})
+    def restore(spark: SparkSession, path: str, options: EngineOptions = EngineOptions(), expected: dict | None = None, encoder=None, verify: bool = True) -> "Engine":
+        """The saved tables are used as they are, thesaurus and vectors included. Other stopword settings, another format,
+        another checksum than expected or, with verify, tables that are not as saved raise StaleStore."""
+        tables, facts = store.load(spark, path, {"stopwords": options.stopwords, **(expected or {})}, verify)
         lexicon = Lexicon()
         for r in tables["lexicon"].collect():
             lexicon.add(r["word"], r["freq"])

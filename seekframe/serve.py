@@ -18,9 +18,11 @@ from .functions.analysis import Lexicon
 from .operators import vectors
 from .options import EngineOptions
 from .plans.evaluate import evaluate, report
+from .plans.measure import measure
 from .plans.search import Engine, mode_of
 from .sources import jsonl
 from .sources.fetch import Fetcher, Refused
+from .sources.synthetic import synthesize
 
 BODY_LIMIT = 8 << 20
 AGENT = "seekframe"
@@ -205,11 +207,11 @@ def rpc(service: Service, line: str) -> dict | None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="seekframe")
-    p.add_argument("command", choices=("serve", "search", "index", "dump", "delete", "analyze", "vector", "stats", "mcp", "build", "eval", "crawl"))
+    p.add_argument("command", choices=("serve", "search", "index", "dump", "delete", "analyze", "vector", "stats", "mcp", "build", "eval", "crawl", "bench", "regold"))
     p.add_argument("text", nargs="*")
     for name in ("corpus", "store", "dict", "out", "id", "mode", "queries"):
         p.add_argument(f"--{name}")
-    for name, value in (("port", 8080), ("top", 10), ("from", 0)):
+    for name, value in (("port", 8080), ("top", 10), ("from", 0), ("docs", 0), ("repetitions", 3)):
         p.add_argument(f"--{name}", type=int, default=value)
     for name, value in (("k1", 1.2), ("b", 0.75)):
         p.add_argument(f"--{name}", type=float, default=value)
@@ -220,6 +222,19 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def regold(path: str, lexicon: Lexicon, out: str | None = None) -> int:
+    """Cuts the sentences of a gold file (sentence, tab, terms joined by a blank) anew; comments and blank lines stay."""
+    with open(path, encoding="utf-8") as f:
+        lines = f.read().splitlines()
+    cut = [i for i, line in enumerate(lines) if line.strip() and not line.startswith("#")]
+    for i in cut:
+        sentence = lines[i].split("\t")[0]
+        lines[i] = sentence + "\t" + " ".join(t["term"] for t in lexicon.analyze(sentence))
+    with open(out or path, "w", encoding="utf-8") as f:
+        f.write("".join(line + "\n" for line in lines))
+    return len(cut)
+
+
 def main(argv=None, spark: SparkSession | None = None, out=sys.stdout) -> int:
     a = parser().parse_args(argv)
     say, text = lambda x: print(x, file=out), " ".join(a.text)
@@ -228,12 +243,25 @@ def main(argv=None, spark: SparkSession | None = None, out=sys.stdout) -> int:
     if a.command == "analyze":
         say(" ".join(t["term"] for t in Lexicon(words).analyze(text, a.stopwords)))
         return 0
+    if a.command == "regold":
+        written = regold(text, Lexicon(words), a.out)
+        say(f"{written} sentences cut")
+        return 0
     options = EngineOptions(k1=a.k1, b=a.b, stopwords=a.stopwords, mining=not a.no_mining, force_vectors=a.force_vectors, fusion=a.fusion, knn=a.knn)
     if a.corpus:
         docs = jsonl.read_corpus(spark, a.corpus)
         if docs.isEmpty():
             say(f"nothing to read in {a.corpus}")
             return 2
+        if a.command == "bench":
+            asked = [r["query"] for r in jsonl.read_queries(spark, a.queries).select("query").collect()] if a.queries else [text]
+            written = json.dumps(measure(synthesize(docs, a.docs) if a.docs else docs, asked, options, words, repetitions=a.repetitions, top_k=a.top))
+            if a.out:
+                with open(a.out, "w", encoding="utf-8") as f:
+                    f.write(written + "\n")
+            else:
+                say(written)
+            return 0
         engine = Engine.build(docs, options, words)
     elif a.store:
         engine = Engine.restore(spark, a.store, options)

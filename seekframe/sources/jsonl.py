@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT = "id STRING, title STRING, body STRING, url STRING, tags STRING"
 
 
-def json_lines(lines: DataFrame, source: str = "doc") -> DataFrame:
+def json_lines(lines: DataFrame, source: str | None = "doc") -> DataFrame:
     """(ext_id, url, title, body, tags) of lines (value, line from 1). Blank, `#` and malformed lines go, and rows without
-    title and body; tags may be a list or a scalar; an id is source-line where none is given."""
+    title and body; tags may be a list or a scalar; an id is source-line, or line without a source, where none is given."""
     rows = lines.filter((F.trim("value") != "") & ~F.trim("value").startswith("#")).withColumn("j", F.try_parse_json("value")).filter("j IS NOT NULL")
     rows = rows.filter("startswith(schema_of_variant(j), 'OBJECT')")
     text = lambda path: F.expr(f"coalesce(try_variant_get(j, '$.{path}', 'string'), '')")
     tags = F.coalesce(F.array_join(F.expr("try_variant_get(j, '$.tags', 'array<string>')"), ","), text("tags"))
     out = rows.select(F.expr("try_variant_get(j, '$.id', 'string')").alias("id"), "line", text("url").alias("url"), text("title").alias("title"), text("body").alias("body"), tags.alias("tags"))
     out = out.filter((F.trim("title") != "") | (F.trim("body") != ""))
-    return out.select(F.coalesce("id", F.concat(F.lit(f"{source}-"), F.col("line").cast("string"))).alias("ext_id"), "url", "title", "body", "tags")
+    place = F.col("line").cast("string")
+    return out.select(F.coalesce("id", place if source is None else F.concat(F.lit(f"{source}-"), place)).alias("ext_id"), "url", "title", "body", "tags")
 
 
 def numbered_lines(spark: SparkSession, paths, names: str | None = None) -> DataFrame:
@@ -27,21 +30,35 @@ def numbered_lines(spark: SparkSession, paths, names: str | None = None) -> Data
     return files.select("file", F.posexplode(F.split("value", r"\R")).alias("i", "value")).select("file", "value", (F.col("i") + 1).alias("line"))
 
 
+def _named_lines(lines: DataFrame) -> DataFrame:
+    """Documents of the lines of several files; one without an id is called by its file and line."""
+    name = F.regexp_extract("file", r"([^/]+?)(?:\.jsonl)?$", 1)
+    return json_lines(lines.select("value", F.concat_ws("-", name, F.col("line").cast("string")).alias("line")), None)
+
+
 def read_corpus(spark: SparkSession, directory: str) -> DataFrame:
     """All *.jsonl files of a folder, not of its subfolders."""
-    lines = numbered_lines(spark, directory, "*.jsonl")
-    named = lines.withColumn("source", F.regexp_extract("file", r"([^/]+)\.jsonl$", 1))
-    out = json_lines(named.select("value", F.struct("source", "line").alias("line")).select("value", F.concat_ws("-", "line.source", F.col("line.line").cast("string")).alias("line")), "")
-    return out.withColumn("ext_id", F.regexp_replace("ext_id", "^-", ""))
+    return _named_lines(numbered_lines(spark, directory, "*.jsonl"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def read_manifest(spark: SparkSession, directory: str) -> DataFrame:
-    """The files that manifest.txt lists; comments and blank lines go."""
-    names = [r["value"].strip() for r in spark.read.text(f"{directory}/manifest.txt").collect()]
-    names = [x for x in names if x and not x.startswith("#")]
-    if not names:
-        return spark.createDataFrame([], "ext_id string, url string, title string, body string, tags string")
-    return json_lines(numbered_lines(spark, [f"{directory}/{x}" for x in names]).select("value", "line"))
+    """The files that manifest.txt lists; comments and blank lines go. Without a manifest or a listed file there is a
+    warning, and what is there is read."""
+    listed, nothing = f"{directory}/manifest.txt", "ext_id string, url string, title string, body string, tags string"
+    if not exists(spark, listed):
+        warnings.warn(f"there is no {listed}", stacklevel=2)
+        return spark.createDataFrame([], nothing)
+    names = [r["value"].strip() for r in spark.read.text(listed).collect()]
+    paths = [f"{directory}/{x}" for x in names if x and not x.startswith("#")]
+    found = [p for p in paths if exists(spark, p)]
+    for path in sorted(set(paths) - set(found)):
+        warnings.warn(f"{listed} names {path}, which is missing", stacklevel=2)
+    return _named_lines(numbered_lines(spark, found)) if found else spark.createDataFrame([], nothing)
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
