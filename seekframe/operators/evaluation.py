@@ -11,7 +11,13 @@ def per_query(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, k: int
     all queries (query_id). recall and ndcg are null for a query without relevant documents; precision divides by the
     length of the list, up to k, and is 0 for an empty list."""
     rel = relevant.select("query_id", "doc_id").distinct()
-    hits = ranked.join(rel.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    judged = ranked.join(rel.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    return per_judged(judged, rel.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel")), queries, k)
+
+
+def per_judged(hits: DataFrame, wanted: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """per_query of judged lists (query_id, rank, hit 0 or 1) and numbers of relevant documents (query_id, n_rel), for
+    relevance that follows from a property: its pairs need not be written out."""
     top = F.col("rank") < k
     sums = hits.groupBy("query_id").agg(
         F.sum(F.when(top, F.col("hit")).otherwise(0)).alias("hits"),
@@ -19,7 +25,6 @@ def per_query(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, k: int
         F.sum(F.when(top, F.col("hit") / F.log2(F.col("rank") + 2.0)).otherwise(0.0)).alias("dcg"),
         F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),
     )
-    wanted = rel.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"))
     rows = queries.select("query_id").join(sums, "query_id", "left").join(wanted, "query_id", "left")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_rel"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     return rows.select(

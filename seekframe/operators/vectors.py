@@ -29,35 +29,68 @@ def nearest(vectors: DataFrame, query: list[float], k: int, exclude=None) -> Dat
     return rows.select("doc_id", F.round(dot(F.col("embedding"), q), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 512) -> DataFrame:
+#: Bytes of query vectors that one task holds.
+HELD = 64 << 20
+
+
+def _best_of(docs: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k by score, then id."""
+    if len(docs) > k:
+        keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        docs, scores = docs[keep], scores[keep]
+    at = np.lexsort((docs, -scores))[:k]
+    return docs[at], scores[at]
+
+
+def _best_lists(batches, ids: np.ndarray, matrix: np.ndarray, k: int, block: int) -> Iterator[pd.DataFrame]:
+    """The best k of all rows of some batches (doc_id, embedding) for each query: a matrix product a batch and block."""
+    held = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
+    for batch in batches:
+        if not len(batch):
+            continue
+        docs, x = batch["doc_id"].to_numpy(np.int64), np.stack(batch["embedding"].to_numpy()).astype(np.float64)
+        for first in range(0, len(ids), block):
+            for j, scores in enumerate(np.round(matrix[first : first + block] @ x.T, 6), first):
+                held[j] = _best_of(np.concatenate([held[j][0], docs]), np.concatenate([held[j][1], scores]), k)
+    for first in range(0, len(ids), block):
+        part = held[first : first + block]
+        yield pd.DataFrame({"query_id": np.repeat(ids[first : first + block], [len(d) for d, _ in part]), "doc_id": np.concatenate([d for d, _ in part]), "score": np.concatenate([s for _, s in part])})
+
+
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 512, held: int = HELD) -> DataFrame:
     """(query_id, doc_id, score, rank from 0) for a stated set of queries (query_id, query), exact.
 
-    Queries are packed into blocks of `block` vectors, numbered by id; every vector meets every block once. Within an
-    Arrow batch a matrix product scores it against the block and keeps the best k per query, and the partial lists are
-    merged by an aggregation, so what is shuffled is k rows a query, batch and block at most.
+    If the queries are counted to take at most `held` bytes, every task has them and scans its vectors once. Otherwise
+    queries are dealt into sets of about that size and vectors into parts, and each task scans one part for one set, so
+    neither the driver nor a task holds all queries. A task keeps the best k of a query over all it scans.
     """
     from pyspark.sql import Window
 
-    found = queries.select("query_id", F.transform("query", lambda x: x.cast("float")).alias("query")).orderBy("query_id").collect()
-    blocks = [found[i : i + block] for i in range(0, len(found), block)]
-    out = None
-    for rows in blocks:
-        ids, matrix = np.array([r["query_id"] for r in rows], np.int64), np.array([r["query"] for r in rows], np.float64)
-
-        def best(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                docs = batch["doc_id"].to_numpy(np.int64)
-                scores = np.round(np.stack(batch["embedding"].to_numpy()).astype(np.float64) @ matrix.T, 6)
-                for j, q in enumerate(ids.tolist()):
-                    top = np.lexsort((docs, -scores[:, j]))[:k]
-                    yield pd.DataFrame({"query_id": q, "doc_id": docs[top], "score": scores[top, j]})
-
-        part = vectors.select("doc_id", "embedding").mapInPandas(best, "query_id long, doc_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    rows, asked = vectors.select("doc_id", "embedding"), queries.select("query_id", F.transform("query", lambda x: x.cast("float")).alias("query"))
+    size = asked.agg(F.coalesce(F.sum(F.size("query") * 8 + 16), F.lit(0)).alias("size")).first()["size"]
+    kinds = "query_id long, doc_id long, score double"
+    as_arrays = lambda ids, points: (np.array(ids, np.int64), np.stack(points).astype(np.float64))
+    if not size:
+        return rows.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    if size <= held:
+        found = asked.orderBy("query_id").collect()
+        ids, matrix = as_arrays([r["query_id"] for r in found], [r["query"] for r in found])
+        out = rows.mapInPandas(lambda batches: _best_lists(batches, ids, matrix, k, block), kinds)
+    else:
+        spark = rows.sparkSession
+        sets, total = -(-size // held), rows.agg(F.coalesce(F.sum(F.size("embedding") * 8 + 16), F.lit(0)).alias("size")).first()["size"]
+        parts = max(1, -(-total // held), int(spark.conf.get("spark.sql.shuffle.partitions")) // sets)
+        every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1))).alias(name)
+        dealt = lambda key, n, name: F.pmod(F.xxhash64(key), F.lit(int(n))).cast("int").alias(name)
+
+        def pair(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+            if not len(own) or not len(wanted):
+                return pd.DataFrame({"query_id": np.empty(0, np.int64), "doc_id": np.empty(0, np.int64), "score": np.empty(0)})
+            return pd.concat(_best_lists([own], *as_arrays(wanted["query_id"], wanted["query"].to_numpy()), k, block))
+
+        left = rows.select(dealt("doc_id", parts, "part"), every(sets, "set"), "doc_id", "embedding").groupBy("part", "set")
+        right = asked.select(every(parts, "part"), dealt("query_id", sets, "set"), "query_id", "query").groupBy("part", "set")
+        out = left.cogroup(right).applyInPandas(pair, kinds)
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return out.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k).withColumn("rank", F.col("place") - 1).drop("place")
 
@@ -81,10 +114,26 @@ def pooled(postings_tf: DataFrame, word_vectors: DataFrame, n_docs: int) -> Data
     return rows.groupBy("doc_id", "i").agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("value"))
 
 
-def train_word_vectors(sentences: DataFrame, dimension: int = 120, window: int = 5, min_count: int = 1, iterations: int = 1, seed: int = 42) -> DataFrame:
-    """(term, vector): skip-gram word vectors of (terms array<string>) rows, trained by MLlib, distributed over partitions."""
+#: Words that get a vector; each worker of the training holds all of their vectors.
+VOCABULARY = 30_000
+
+
+def vocabulary(sentences: DataFrame, size: int = VOCABULARY) -> DataFrame:
+    """(term, df): the terms of most rows (terms array<string>), ties by term, up to size."""
+    rows = sentences.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return rows.orderBy(F.desc("df"), "term").limit(size)
+
+
+def train_word_vectors(sentences: DataFrame, dimension: int = 120, window: int = 5, min_count: int = 1, iterations: int = 1, seed: int = 42, size: int = VOCABULARY) -> DataFrame:
+    """(term, vector): skip-gram word vectors of (terms array<string>) rows, trained by MLlib, distributed over partitions.
+    Only the terms of `vocabulary` count."""
     from pyspark.ml.feature import Word2Vec
 
+    known = [r["term"] for r in vocabulary(sentences, size + 1).collect()]  # bounded by size
+    if len(known) > size:
+        listed = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in known[:size])
+        sentences = sentences.select(F.expr(f"filter(terms, t -> t IN ({listed}))").alias("terms"))  # a hash set in the JVM
+
     model = Word2Vec(vectorSize=dimension, windowSize=window, minCount=min_count, maxIter=iterations, seed=seed, inputCol="terms", outputCol="v").fit(sentences)
     from pyspark.ml.functions import vector_to_array
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions import web
-from .functions.analysis import FOLD_FROM, FOLD_TO, LATIN_RUNS, RUNS, Lexicon, latin_terms, places_by_term, tokens
+from .functions.analysis import FOLD_FROM, FOLD_TO, LATIN_RUNS, RUNS, STOPWORDS, Lexicon, latin_terms, places_by_term, tokens
 from .operators import bm25, crawl, evaluation, fusion, mining, thesaurus, vectors
 from .operators import index as ix
 from .options import EngineOptions
@@ -62,6 +63,7 @@ def r6(c) -> F.Column:
 
 _quoted = lambda s: s.replace("'", "''")
 _terms = lambda x: f"regexp_extract_all(translate({x}, '{_quoted(FOLD_FROM)}', '{_quoted(FOLD_TO)}'), '{LATIN_RUNS}')"
+_escaped = lambda x: f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 _list = lambda xs: ", ".join(f"'{x}'" for x in xs)
 DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents), f AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body, concat_ws(',', lang, source) AS tags FROM d)"
 ONE = f"WITH d AS (SELECT doc_id, {_terms('coalesce(text, chr(32))')} AS ts FROM documents), t AS (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS p FROM d)"
@@ -318,6 +320,17 @@ def knn_all_labels(spark, sf_dir):
     return _knn(spark, sf_dir).join(labels, "doc_id").join(own, "query_id").groupBy("query_id").agg(F.count_if(F.col("label") == F.col("own")).alias("same_label"))
 
 
+@query(f"SELECT e.vec_id::VARCHAR AS term, {DOT.format(a='e.embedding', b='q.embedding')} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE vec_id <> 7 ORDER BY score DESC, term LIMIT 20")
+def word_neighbours(spark, sf_dir):
+    words = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("term"), F.col("embedding").alias("vector"))
+    return vectors.nearest_words(words, "7", 20)
+
+
+@query(ONE + " SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term ORDER BY df DESC, term LIMIT 30000")
+def word_vocabulary(spark, sf_dir):
+    return vectors.vocabulary(term_sets(spark, sf_dir))
+
+
 @query("WITH x AS (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT i, round(avg(v::DOUBLE), 6) AS mean FROM x GROUP BY i")
 def vector_center(spark, sf_dir):
     return vectors.center(embedded(spark, sf_dir)).withColumn("mean", r6("mean"))
@@ -385,10 +398,19 @@ def snippet_window(spark, sf_dir):
     return rows.filter(F.arrays_overlap("ts", F.array(F.lit("of"), F.lit("de"), F.lit("der")))).select("doc_id", tx.snippet_start(F.col("ts"), ["of", "de", "der"]).alias("start"))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, regexp_replace(replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), '(^|[^A-Za-z])(of)($|[^A-Za-z])', '\\1<em>\\2</em>\\3', 'g') AS title FROM f")
+#: Twice, for matches that share a separator; after escaping, > stands in tags only.
+_marked = "regexp_replace({x}, '(^|[^A-Za-z>])([oO][fF])($|[^A-Za-z])', '\\1<em>\\2</em>\\3', 'g')"
+
+
+@query(f"WITH {DOCS} SELECT doc_id, {_marked.format(x=_marked.format(x=_escaped('title')))} AS title FROM f")
 def highlight_title(spark, sf_dir):
-    escaped = tx.escape_html(F.col("title"))
-    return ix.fielded(table(spark, sf_dir, "documents")).select("doc_id", F.regexp_replace(escaped, "(^|[^A-Za-z])(of)($|[^A-Za-z])", "$1<em>$2</em>$3").alias("title"))
+    lexicon = Lexicon()
+
+    @F.pandas_udf("string")
+    def mark(titles: pd.Series) -> pd.Series:
+        return titles.map(lambda t: tx.marked(t, lexicon.analyze(t), {"of"}))
+
+    return ix.fielded(table(spark, sf_dir, "documents")).select("doc_id", mark("title").alias("title"))
 
 
 @query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped FROM pages")
@@ -540,8 +562,12 @@ x AS (SELECT query_id, kind, hits / n_rel AS recall, hits / listed AS precision,
 def _metrics(spark, sf_dir) -> DataFrame:
     labels = embedded(spark, sf_dir).select("doc_id", "label")
     asked = labels.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("label"))
-    relevant = asked.join(labels, "label").filter("doc_id <> query_id").select("query_id", "doc_id")
-    found = evaluation.per_query(_knn(spark, sf_dir), relevant, asked, 5)
+    sizes = labels.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_rel"))
+    wanted = asked.join(sizes, "label").filter("n_rel > 0").select("query_id", "n_rel")
+    own = asked.select("query_id", F.col("label").alias("own"))
+    judged = _knn(spark, sf_dir).join(labels, "doc_id").join(own, "query_id")
+    judged = judged.select("query_id", "rank", ((F.col("label") == F.col("own")) & (F.col("doc_id") != F.col("query_id"))).cast("int").alias("hit"))
+    found = evaluation.per_judged(judged, wanted, asked, 5)
     return found.join(asked.select("query_id", F.col("label").alias("kind")), "query_id")
 
 
@@ -623,6 +649,12 @@ def han_cut(spark, sf_dir):
     return tokens(rows, "text", ["sentence"], Lexicon(CUT_WORDS))
 
 
+@query(ORACLES["han_cut"].replace("flatten(list(coalesce(cut, [run]) ORDER BY k)) AS ts", f"list_filter(flatten(list(coalesce(cut, [run]) ORDER BY k)), lambda x: x NOT IN ({_list(STOPWORDS)})) AS ts"))
+def han_stopwords(spark, sf_dir):
+    rows = _han(spark, sf_dir).withColumn("sentence", F.col("text"))
+    return tokens(rows, "text", ["sentence"], Lexicon(CUT_WORDS), stopwords=True)
+
+
 # ---------------------------------------------------------------------- sources and sinks
 
 
