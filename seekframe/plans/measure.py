@@ -17,10 +17,10 @@ def percentiles(values: list[float], *of: int) -> list[float]:
     return [ordered[max(0, math.ceil(p / 100 * len(ordered)) - 1)] if ordered else 0.0 for p in of]
 
 
-def measure(docs: DataFrame, texts: list[str], options: EngineOptions = EngineOptions(), words=(), modes=("bm25", "hybrid"), repetitions: int = 3, top_k: int = 10) -> dict:
+def measure(docs: DataFrame, texts: list[str], options: EngineOptions = EngineOptions(), words=(), encoder=None, modes=("bm25", "hybrid"), repetitions: int = 3, top_k: int = 10) -> dict:
     """Builds an engine of docs with all its tables, then asks each text so often in each mode."""
     began = time.time()
-    engine = Engine.build(docs, options, words)
+    engine = Engine.build(docs, options, words, encoder)
     rows = {name: table.count() for name, table in engine.tables.items()}
     build = time.time() - began
     out = {"documents": rows["docs"], "postings": rows["postings"], "build_seconds": round(build, 3), "docs_per_second": round(rows["docs"] / build, 3), "stage_seconds": {k: round(v, 3) for k, v in engine.seconds.items()}, "mined_words": engine.mined, "latency_ms": {}}

@@ -64,7 +64,8 @@ class Engine:
 
     @staticmethod
     def build(docs: DataFrame, options: EngineOptions = EngineOptions(), words=(), encoder=None) -> "Engine":
-        """docs: (ext_id, url, title, body, tags). words: a dictionary. encoder: a Column function text -> vector."""
+        """docs: (ext_id, url, title, body, tags). words: a dictionary. encoder: a Column function text -> vector, such as a
+        TextEncoder; its `query`, if it has one, encodes queries."""
         spark, seconds, began = docs.sparkSession, {}, time.time()
         lexicon, mined = Lexicon(words), 0
         rows = ix.compacted(cleaned(docs), "ext_id").withColumnRenamed("new_id", "doc_id").cache()
@@ -118,7 +119,7 @@ class Engine:
     def _encoded(self, rows: DataFrame, posts: DataFrame, n: int) -> DataFrame:
         """(doc_id, embedding): unit vectors of documents."""
         if self.encoder is not None:
-            return rows.select("doc_id", vectors.normalized(self.encoder(vector_text())).alias("embedding"))
+            return rows.select("doc_id", self.encoder(vector_text()).alias("v")).select("doc_id", vectors.normalized(F.col("v")).alias("embedding"))
         mean = F.broadcast(self.tables["center"].groupBy().agg(F.array_sort(F.collect_list(F.struct("i", "mean"))).alias("m")))  # one row
         return self._pooled(rows, posts, n).join(mean).select("doc_id", vectors.normalized(F.zip_with("embedding", "m", lambda a, b: a - b["mean"])).alias("embedding"))
 
@@ -206,7 +207,7 @@ class Engine:
         if "vectors" not in self.tables:
             return None
         if self.encoder is not None:
-            v = self.spark.createDataFrame([(query,)], "t string").select(vectors.normalized(self.encoder(F.col("t"))).alias("v")).first()["v"]
+            v = self.spark.createDataFrame([(query,)], "t string").select(getattr(self.encoder, "query", self.encoder)(F.col("t")).alias("v")).select(vectors.normalized(F.col("v")).alias("v")).first()["v"]
         else:
             n = self.tables["docs"].count()
             tf = self.spark.createDataFrame([(0, t, terms.count(t)) for t in dict.fromkeys(terms)], "doc_id int, term string, tf int")

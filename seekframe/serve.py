@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import web
 from .functions.analysis import Lexicon
+from .functions.encoder import TextEncoder
 from .operators import vectors
 from .options import EngineOptions
 from .plans.evaluate import evaluate, report
@@ -209,14 +210,14 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="seekframe")
     p.add_argument("command", choices=("serve", "search", "index", "dump", "delete", "analyze", "vector", "stats", "mcp", "build", "eval", "crawl", "bench", "regold"))
     p.add_argument("text", nargs="*")
-    for name in ("corpus", "store", "dict", "out", "id", "mode", "queries"):
+    for name in ("corpus", "store", "dict", "out", "id", "mode", "queries", "model"):
         p.add_argument(f"--{name}")
     for name, value in (("port", 8080), ("top", 10), ("from", 0), ("docs", 0), ("repetitions", 3)):
         p.add_argument(f"--{name}", type=int, default=value)
     for name, value in (("k1", 1.2), ("b", 0.75)):
         p.add_argument(f"--{name}", type=float, default=value)
     p.add_argument("--knn", choices=("auto", "exact", "graph"), default="auto")
-    for name in ("phrase", "stopwords", "force-vectors", "no-mining", "allow-private"):
+    for name in ("phrase", "stopwords", "force-vectors", "no-mining", "allow-private", "mean-pooling", "no-instruction"):
         p.add_argument(f"--{name}", action="store_true")
     p.add_argument("--fusion", type=lambda s: tuple(map(float, s.split(","))), default=EngineOptions().fusion)
     return p
@@ -248,6 +249,7 @@ def main(argv=None, spark: SparkSession | None = None, out=sys.stdout) -> int:
         say(f"{written} sentences cut")
         return 0
     options = EngineOptions(k1=a.k1, b=a.b, stopwords=a.stopwords, mining=not a.no_mining, force_vectors=a.force_vectors, fusion=a.fusion, knn=a.knn)
+    encoder = TextEncoder(spark, a.model, not a.mean_pooling, instruct=not a.no_instruction) if a.model else None
     if a.corpus:
         docs = jsonl.read_corpus(spark, a.corpus)
         if docs.isEmpty():
@@ -255,16 +257,16 @@ def main(argv=None, spark: SparkSession | None = None, out=sys.stdout) -> int:
             return 2
         if a.command == "bench":
             asked = [r["query"] for r in jsonl.read_queries(spark, a.queries).select("query").collect()] if a.queries else [text]
-            written = json.dumps(measure(synthesize(docs, a.docs) if a.docs else docs, asked, options, words, repetitions=a.repetitions, top_k=a.top))
+            written = json.dumps(measure(synthesize(docs, a.docs) if a.docs else docs, asked, options, words, encoder=encoder, repetitions=a.repetitions, top_k=a.top))
             if a.out:
                 with open(a.out, "w", encoding="utf-8") as f:
                     f.write(written + "\n")
             else:
                 say(written)
             return 0
-        engine = Engine.build(docs, options, words)
+        engine = Engine.build(docs, options, words, encoder)
     elif a.store:
-        engine = Engine.restore(spark, a.store, options)
+        engine = Engine.restore(spark, a.store, options, encoder=encoder)
     else:
         say("--corpus or --store is required")
         return 2
