@@ -1,6 +1,14 @@
 """What shows on larger tables only: rows that repeat, and steps that must not grow faster than their input."""
 
+import random
+from collections import Counter
+from itertools import combinations
+
+import pyarrow as pa
+import pytest
+
 from seekframe.functions import web
+from seekframe.operators import thesaurus
 
 
 def test_robots_of_a_url_that_comes_more_than_once(spark):
@@ -8,3 +16,43 @@ def test_robots_of_a_url_that_comes_more_than_once(spark):
     urls = ["http://h.example.com/p/x", "http://h.example.com/p/ok", "http://h.example.com/p/x", "http://g.example.com/p", "http://g.example.com/p", None, None]
     got = web.robots_allowed(spark.createDataFrame([(u,) for u in urls], "url string"), web.robots_rules(files, "seekframe"))
     assert sorted((r.url or "", r.allowed) for r in got.collect()) == sorted((u or "", u != urls[0]) for u in urls)
+
+
+def nodes(plan):
+    """All nodes of a plan that has run."""
+    kind = plan.getClass().getSimpleName()
+    inner = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else None
+    children = [plan.children().apply(i) for i in range(plan.children().size())] if inner is None else [inner]
+    return [plan] + [x for child in children for x in nodes(child)]
+
+
+def most_rows(df):
+    """Rows of a result, and the most rows that a node of its plan has put out."""
+    found = df.collect()
+    metric = lambda x: x.metrics().get("numOutputRows")
+    return found, max(metric(x).get().value() for x in nodes(df._jdf.queryExecution().executedPlan()) if metric(x).isDefined())
+
+
+def test_pairs_of_terms_are_counted_without_a_row_for_each(spark):
+    rng, words = random.Random(4), [f"w{i}" for i in range(400)]
+    docs = [(i, rng.sample(words, 60)) for i in range(40)]
+    df = Counter(t for _, terms in docs for t in terms)
+    kept = [sorted(sorted((t for t in terms if 2 <= df[t] <= 10), key=lambda t: (df[t], t))[:60]) for _, terms in docs]
+    co = Counter(pair for terms in kept for pair in combinations(terms, 2))
+    want = {(a, b): (n, round(n / (df[a] * df[b]) ** 0.5, 6)) for (a, b), n in co.items() if n >= 2}
+    found, most = most_rows(thesaurus.related_pairs(spark.createDataFrame(docs, "doc_id long, terms array<string>"), 2, 0.5))
+    assert {(r.a, r.b): (r.co, r.cosine) for r in found} == {k: v for k, v in want.items() if v[1] >= 0.5}
+    assert most <= sum(df.values()) < sum(co.values()) / 10
+
+
+@pytest.mark.parametrize("gathered", [1, 7, 1 << 20])
+def test_pairs_of_a_term_in_several_batches(gathered):
+    rng, df = random.Random(5), lambda place: 2 + place // 3
+    x = lambda place: df(place) << 32 | place
+    rows = sorted((rng.randrange(12), sorted(rng.sample(range(12, 70_020), 3) + rng.sample(range(12, 20), 4))) for _ in range(60))
+    batches = [pa.record_batch({"a": pa.array([x(a) for a, _ in rows[i : i + 4]], pa.int64()), "b": pa.array([[x(b) for b in bs] for _, bs in rows[i : i + 4]], pa.list_(pa.int64()))}) for i in range(0, 60, 4)]
+    got = pa.Table.from_batches(thesaurus.pair_counts(2, 0.5, gathered)(iter(batches))).to_pylist()
+    co = Counter((a, b) for a, bs in rows for b in bs)
+    assert {(r["a"], r["b"]): r["co"] for r in got} == {(a, b): n for (a, b), n in co.items() if n >= 2 and n >= 0.499999 * (df(a) * df(b)) ** 0.5}
+    assert len(got) == len({(r["a"], r["b"]) for r in got}) > 20
+    assert pa.Table.from_batches(thesaurus.pair_counts(2, 0.5)(iter([]))).num_rows == 0
