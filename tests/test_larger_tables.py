@@ -56,3 +56,14 @@ def test_pairs_of_a_term_in_several_batches(gathered):
     assert {(r["a"], r["b"]): r["co"] for r in got} == {(a, b): n for (a, b), n in co.items() if n >= 2 and n >= 0.499999 * (df(a) * df(b)) ** 0.5}
     assert len(got) == len({(r["a"], r["b"]) for r in got}) > 20
     assert pa.Table.from_batches(thesaurus.pair_counts(2, 0.5)(iter([]))).num_rows == 0
+
+
+def test_best_terms_are_found_without_a_row_for_each_pair(spark):
+    rng, words = random.Random(6), [f"w{i}" for i in range(400)]
+    docs = [(i, rng.sample(words, 60)) for i in range(40)]
+    pairs = thesaurus.related_pairs(spark.createDataFrame(docs, "doc_id long, terms array<string>"), 2, 0.5)
+    both = [x for r in pairs.collect() for x in ((r.a, r.b, r.cosine), (r.b, r.a, r.cosine))]
+    want = {(t, i, u, c) for t in {x[0] for x in both} for i, (_, u, c) in enumerate(sorted((x for x in both if x[0] == t), key=lambda x: (-x[2], x[1]))[:8])}
+    found, most = most_rows(thesaurus.related_terms(pairs))
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+    assert most <= max(sum(len(terms) for _, terms in docs), len(both))
