@@ -107,8 +107,8 @@ def centered(vectors: DataFrame) -> DataFrame:
 
 
 def pooled(postings_tf: DataFrame, word_vectors: DataFrame, n_docs: int) -> DataFrame:
-    """(doc_id, i, value): tf-idf weighted sums of word vectors. postings_tf: (doc_id, term, tf, df); word_vectors:
-    (term, vector)."""
+    """(doc_id, i, value): tf-idf weighted sums of word vectors. postings_tf: (doc_id, term, tf); word_vectors: (term,
+    vector); one of them has df, too."""
     weight = (1 + F.log(F.col("tf"))) * (F.log(F.lit(float(n_docs)) / F.col("df")) + 1)
     rows = postings_tf.join(word_vectors, "term").select("doc_id", weight.alias("w"), F.posexplode("vector").alias("i", "x"))
     return rows.groupBy("doc_id", "i").agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("value"))

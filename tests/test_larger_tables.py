@@ -6,9 +6,11 @@ from itertools import combinations
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from seekframe.functions import web
+from seekframe.functions import analysis, web
 from seekframe.operators import thesaurus
+from seekframe.queries import QUERIES
 
 
 def test_robots_of_a_url_that_comes_more_than_once(spark):
@@ -67,3 +69,20 @@ def test_best_terms_are_found_without_a_row_for_each_pair(spark):
     found, most = most_rows(thesaurus.related_terms(pairs))
     assert {tuple(r) for r in found} == want and len(found) == len(want)
     assert most <= max(sum(len(terms) for _, terms in docs), len(both))
+
+
+@pytest.mark.parametrize("name", ["pooled_vector", "thesaurus_pairs", "thesaurus_topk"])
+def test_texts_are_cut_into_terms_once(spark, tmp_path, name):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices([f"{x}{y}" for x in "abcdefgh" for y in "ijklmnop"], k=rng.randint(0, 9))), "en", "a") for i in range(50)]
+    spark.createDataFrame([*rows, (50, None, "en", "a")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    found = df.collect()
+    assert len(found) == sum(bool(r[1]) for r in rows) if name == "pooled_vector" else found
+    assert sum("regexp_extract_all" in x.expressions().mkString(",") for x in nodes(df._jdf.queryExecution().executedPlan())) == 1
+
+
+def test_counts_by_term(spark):
+    texts = ["b a b", "", None, "x", "a a a a b", "z 1,5 z 10 9 z"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").select("id", F.inline(analysis.counts_by_term(analysis.latin_terms(F.coalesce("text", F.lit(""))))))
+    assert {(r.id, r.term, r.tf) for r in rows.collect()} == {(i, t, n) for i, text in enumerate(texts) for t, n in Counter((text or "").split()).items()}
