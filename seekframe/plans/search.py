@@ -90,8 +90,8 @@ class Engine:
         posts = ix.postings(spread, lexicon, stopwords=options.stopwords).cache()
         lens = ix.lengths(spread, lexicon).cache()
         all_docs = term_arrays(rows.select("doc_id", F.concat_ws(" ", "title", "body", "tags").alias("t")), "t", ["doc_id"], lexicon, options.stopwords)
-        pairs = thesaurus.related_pairs(all_docs, options.thesaurus["min_co"], options.thesaurus["min_cosine"])
-        return {"docs": rows, "postings": posts, "lengths": lens, "field_stats": ix.field_stats(lens), "related": thesaurus.related_terms(pairs, options.thesaurus["top_k"]).cache()}
+        related = thesaurus.best_terms(all_docs, **options.thesaurus)
+        return {"docs": rows, "postings": posts, "lengths": lens, "field_stats": ix.field_stats(lens), "related": related.cache()}
 
     def _vectors(self) -> None:
         """A given encoder encodes the documents; else word vectors are trained, if there is text enough or it is forced."""

@@ -71,6 +71,46 @@ def test_best_terms_are_found_without_a_row_for_each_pair(spark):
     assert most <= max(sum(len(terms) for _, terms in docs), len(both))
 
 
+def test_best_terms_of_copies_are_found_without_a_row_for_each_pair(spark, tmp_path):
+    rng, letters = random.Random(8), "abcdefgh"
+    words = ["".join(rng.choices(letters, k=7)) for _ in range(2400)]
+    texts = [words[i : i + 60] + rng.sample(words, 5) for i in range(0, 2400, 60)]
+    rows = [(i, " ".join(texts[i % 40])) for i in range(80)] + [(i, "x") for i in range(80, 90)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = Counter(t for _, text in rows for t in set(text.split()))
+    kept = [sorted((t for t in set(text.split()) if 2 <= df[t] <= 22), key=lambda t: (df[t], t))[:60] for _, text in rows]
+    co = Counter(pair for terms in kept for pair in combinations(sorted(terms), 2))
+    both = {}
+    for (a, b), n in co.items():
+        for x, y in ((a, b), (b, a)):
+            both.setdefault(x, []).append((-round(n / (df[a] * df[b]) ** 0.5, 6), y))
+    found, most = most_rows(QUERIES["thesaurus_topk"](spark, str(tmp_path)))
+    assert {tuple(r) for r in found} == {(t, i, u, -c) for t, xs in both.items() for i, (c, u) in enumerate(sorted(xs)[:8])}
+    assert most <= 8 * len(df) < len(co) / 3
+
+
+@pytest.mark.parametrize("gathered", [1, 50, 1 << 20])
+def test_best_pairs_of_packed_terms(gathered):
+    rng, df = random.Random(9), lambda place: 36 if place < 10 else 64 if place < 20 else 100  # 3 of 36, 4 of 64 and 5 of 100 are tied
+    x = lambda place: df(place) << 32 | place
+    docs = [(sorted(rng.sample(range(30), rng.randint(1, 9)) + rng.sample(range(70_000, 70_400), 2)), rng.choice([1, 1, 1, 2, 3])) for _ in range(80)]
+    one = pa.record_batch({"t": pa.array([[x(p) for p in t] for t, _ in docs] + [[]], pa.list_(pa.int64())), "n": pa.array([n for _, n in docs] + [1], pa.int64())})
+    sent = [r for batch in thesaurus.packed(iter([one.slice(0, 30), one.slice(30), one.slice(0, 0)])) for r in batch.to_pylist()]
+    assert [r["t"] for r in sent] == one.column("t").to_pylist()
+    rows = sorted(((a, r["p"]) for r in sent for a in r["t"]), key=lambda r: r[0])
+    batches = [pa.record_batch({"a": pa.array([a for a, _ in part], pa.int64()), "p": pa.array([p for _, p in part], pa.binary())}) for part in (rows[i : i + 70] for i in range(0, len(rows), 70))]
+    got = pa.Table.from_batches(thesaurus.pair_counts(2, 0.08, gathered, 3)(thesaurus.unpacked(iter(batches), 16))).to_pylist()
+    co = Counter()
+    for t, n in docs:
+        co.update({(a, b): n for a in t for b in t if a != b})
+    cosine = lambda a, b: round(co[a, b] / (df(a) * df(b)) ** 0.5, 6)
+    assert all(r["co"] == co[r["a"], r["b"]] for r in got) and len(got) == len({(r["a"], r["b"]) for r in got})
+    for seed in range(3):  # with any order of terms inside a df, and any of the dfs
+        name = {p: (random.Random(f"{seed} {df(p)}").random(), p) for p in [*range(30), *range(70_000, 70_400)]}
+        best = lambda pairs: {a: sorted((b for x, b in pairs if x == a), key=lambda b: (-cosine(a, b), name[b]))[:3] for a in {a for a, _ in pairs}}
+        assert best({(r["a"], r["b"]) for r in got}) == best({p for p, n in co.items() if n >= 2 and cosine(*p) >= 0.08})
+
+
 @pytest.mark.parametrize("name", ["pooled_vector", "thesaurus_pairs", "thesaurus_topk"])
 def test_texts_are_cut_into_terms_once(spark, tmp_path, name):
     rng = random.Random(7)
